@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing, packing, url_filter
+from tidemill.llm import ctw, minhash, mixing, packing, passages, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op4_passages": passages.query,
     "op5_packing": packing.query,
+    "op6_ctw": ctw.query,
     "op7_mixing": mixing.query,
+    "op9_toxicity": toxicity.query,
+    "op10_minhash": minhash.query,
 }
 ORACLE = {
     "op1_url_filter": url_filter.oracle(),
