@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemill.llm import ctw, minhash, mixing, packing, passages, toxicity, url_filter
+from tidemill.llm import ctw, langid, minhash, mixing, neighbours, packing, passages, toxicity, transport, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_transport": transport.query,
+    "op3_langid": langid.query,
     "op4_passages": passages.query,
     "op5_packing": packing.query,
     "op6_ctw": ctw.query,
     "op7_mixing": mixing.query,
+    "op8_neighbours": neighbours.query,
     "op9_toxicity": toxicity.query,
     "op10_minhash": minhash.query,
 }
