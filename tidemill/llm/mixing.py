@@ -8,8 +8,8 @@ its source stands at t = D^-1(c). A source that runs out is repeated for up to
 ``max_epochs``; supply beyond the demand D(1) is not scheduled. The result is
 range-sorted by position.
 
-Base weights are the square root of a source's tokens (temperature 2), times
-the shape of its schedule. All arithmetic runs in the JVM; running sums are
+Base weights are a source's tokens to the power 3/4, times the shape of its
+schedule. All arithmetic runs in the JVM; running sums are
 taken inside (source, 12-bit hash bucket), on top of the buckets' offsets, so
 that a hot source is spread over 4096 tasks.
 
@@ -69,12 +69,14 @@ def invert(x: Column, shape: Column) -> Column:
     return out
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, budget_tokens: int | None = None, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, owner: str = "query") -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, budget_tokens: int | None = None, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, owner: str = "query", only_docs: bool = False) -> DataFrame:
     """Rows of docs, each with n_tokens, epoch and position (billionths of training time), in order of position.
 
-    Columns of docs with these three names are replaced.
+    Columns of docs with these three names are replaced; with only_docs the
+    rows have just the columns of docs, but stand in that order.
     """
-    docs = docs.drop("n_tokens", "epoch", "position")
+    if not only_docs:
+        docs = docs.drop("n_tokens", "epoch", "position")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     base = docs.select("*", (n_tokens() if tokens is None else tokens).alias("__tm_n"), key.alias("__tm_key"), F.substring(key, 1, 3).alias("__tm_b"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")).alias("__tm_s"))
     # cut once (no text): tokens per (source, bucket) with running offsets per source
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, budget_tokens: int | None
     areas = F.lit(0.0)
     for k, knots in enumerate(SHAPES):
         areas = F.when(F.col("__tm_shape") == k, F.lit(_area(knots))).otherwise(areas)
-    per = sums.groupBy("__tm_s").agg(F.sum("__tm_sum").alias("__tm_supply"), F.first("__tm_shape").alias("__tm_shape")).withColumn("__tm_w", F.sqrt(F.col("__tm_supply").cast("double")) * areas)
+    per = sums.groupBy("__tm_s").agg(F.sum("__tm_sum").alias("__tm_supply"), F.first("__tm_shape").alias("__tm_shape")).withColumn("__tm_w", F.sqrt(F.col("__tm_supply").cast("double")) * F.sqrt(F.sqrt(F.col("__tm_supply").cast("double"))) * areas)
     total = per.agg(F.sum("__tm_w").alias("__tm_wsum"), F.sum("__tm_supply").alias("__tm_all"))
     demand = (F.lit(float(budget_tokens)) if budget_tokens is not None else F.col("__tm_all").cast("double")) * F.col("__tm_w") / F.col("__tm_wsum")
     per = per.crossJoin(total).select("__tm_s", "__tm_supply", "__tm_shape", demand.alias("__tm_demand")).where("__tm_supply > 0")
@@ -91,11 +93,15 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, budget_tokens: int | None
     inside = F.sum("__tm_n").over(Window.partitionBy("__tm_s", "__tm_b").orderBy("__tm_key", id_col).rowsBetween(Window.unboundedPreceding, -1))
     placed = base.withColumn("__tm_in", F.coalesce(inside, F.lit(0))).join(offsets, ["__tm_s", "__tm_b"])
     epochs = F.least(F.lit(max_epochs), F.ceil(F.col("__tm_demand") / F.col("__tm_supply"))).cast("int")
-    each = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(epochs - 1, F.lit(0)))))
-    c = (F.col("epoch").cast("long") * F.col("__tm_supply") + F.col("__tm_before") + F.col("__tm_in")).cast("double")
+    each = placed.withColumn("__tm_e", F.explode(F.sequence(F.lit(0), F.greatest(epochs - 1, F.lit(0)))))
+    c = (F.col("__tm_e").cast("long") * F.col("__tm_supply") + F.col("__tm_before") + F.col("__tm_in")).cast("double")
     each = each.withColumn("__tm_x", c / F.col("__tm_demand")).where("__tm_x < 1")
     position = F.floor(invert(F.col("__tm_x"), F.col("__tm_shape")) * SCALE).cast("long")
-    return each.select(*[F.col(f"`{x}`") for x in docs.columns], F.col("__tm_n").alias("n_tokens"), "epoch", position.alias("position")).orderBy("position", source_col, id_col, "epoch")
+    own = [F.col(f"`{x}`") for x in docs.columns]
+    ordered = each.withColumn("__tm_p", position).orderBy("__tm_p", source_col, id_col, "__tm_e")
+    if only_docs:
+        return ordered.select(*own)
+    return ordered.select(*own, F.col("__tm_n").alias("n_tokens"), F.col("__tm_e").alias("epoch"), F.col("__tm_p").alias("position"))
 
 
 def _invert_sql() -> str:
@@ -114,7 +120,7 @@ def oracle(max_epochs: int = MAX_EPOCHS, table: str = "documents") -> str:
     areas = "CASE shape" + "".join(f" WHEN {k} THEN CAST({_area(kn)!r} AS DOUBLE)" for k, kn in enumerate(SHAPES)) + " END"
     return f"""WITH base AS (SELECT doc_id, source, {N_TOKENS_SQL} AS n_tokens, md5(CAST(doc_id AS VARCHAR)) AS k,
   coalesce(ascii(right(source, 1)), 0) % 3 AS shape FROM {table}),
-per AS (SELECT source, shape, sum(n_tokens) AS supply, sqrt(CAST(sum(n_tokens) AS DOUBLE)) * {areas} AS w FROM base GROUP BY source, shape),
+per AS (SELECT source, shape, sum(n_tokens) AS supply, sqrt(CAST(sum(n_tokens) AS DOUBLE)) * sqrt(sqrt(CAST(sum(n_tokens) AS DOUBLE))) * {areas} AS w FROM base GROUP BY source, shape),
 dem AS (SELECT source, supply, (SELECT CAST(sum(supply) AS DOUBLE) FROM per) * w / (SELECT sum(w) FROM per) AS demand FROM per WHERE supply > 0),
 placed AS (SELECT b.*, d.supply, d.demand, sum(n_tokens) OVER (PARTITION BY b.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS c FROM base b JOIN dem d ON b.source IS NOT DISTINCT FROM d.source),
 occ AS (SELECT *, CAST(e.e * supply + c AS DOUBLE) / demand AS x, CAST(e.e AS INTEGER) AS epoch FROM placed, (SELECT unnest(range({max_epochs})) AS e) e)

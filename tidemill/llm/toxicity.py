@@ -175,5 +175,20 @@ def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CL
     return out.toDF(*carry, id_col, "n_words", "toxic_ll", "ordinary_ll", "toxic")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the toxic ones. Only text and language go to Python, and one boolean comes back."""
+    model = train(docs, labels, max_per_class, id_col)
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array, lang: pa.Array) -> pa.Array:
+        out = []
+        for b in slices(iter([pa.RecordBatch.from_arrays([text, lang], names=["text", "lang"])]), "text"):
+            n, tox, ordinary = score(model, b.column("text"), b.column("lang"))
+            out.append(~((tox - ordinary > model.threshold) & (n > 0)))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.where(clean(F.coalesce(F.lower("text"), F.lit("")), docs["lang"].cast("string")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
