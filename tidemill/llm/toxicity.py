@@ -116,7 +116,7 @@ def fit(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
     cuts = np.unique(margin)
     rate = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="right") / len(x)
     gain = rate(margin[toxic]) - rate(margin[~toxic])
-    best = int(np.argmax(gain))
+    best = int(np.flatnonzero(gain >= gain.max() - 0.002)[-1])  # of cuts as good as the best, the highest
     above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
     model.threshold = float(max((cuts[best] + above) / 2 if cuts[best] > 0 else min(above / 2, 1e-3), 1e-6))
     return model
