@@ -98,21 +98,36 @@ def _level(keys: list[np.ndarray], langs: list[np.ndarray]) -> tuple[np.ndarray,
     return both, np.where(real, logp[1], np.log(shared)).astype(np.float32), np.where(real, ratio, 0).astype(np.float32)
 
 
+def _parts(text: pa.Array, lang: pa.Array) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, rows) in parts of bounded size: the driver's memory holds the arrays of one at a time."""
+    at = 0
+    for b in slices(iter([pa.RecordBatch.from_arrays([text, lang], names=["text", "lang"])]), "text"):
+        yield at, b
+        at += b.num_rows
+
+
 def fit(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
     """Fit on lower-case texts of labelled documents; toxic: booleans."""
     none = Model([np.zeros(0, U64)] * 2, [np.zeros(0, np.float32)] * 2, [np.zeros(0, np.float32)] * 2, np.inf)
     if not toxic.any() or toxic.all():
         return none
     codes = np.unique([str(x) for x in lang.to_pylist()], return_inverse=True)[1]
-    keys, row, pairs = _units(text, lang)
+    parts: list[list[list[np.ndarray]]] = [[], []]  # per class: pairs, word keys, first-letters keys, languages
+    for at, b in _parts(text, lang):
+        keys, row, pairs = _units(b.column("text"), b.column("lang"))
+        for c in (0, 1):
+            mine = np.flatnonzero(toxic[at + row] == (c == 0))
+            mine = mine[np.unique(pairs[mine], return_index=True)[1]]
+            parts[c].append([pairs[mine], keys[0][mine], keys[1][mine], codes[at + row[mine]]])
     classes = []
-    for c in (True, False):
-        at = np.flatnonzero(toxic[row] == c)
-        classes.append(at[np.unique(pairs[at], return_index=True)[1]])
-    levels = [_level([k[c] for c in classes], [codes[row[c]] for c in classes]) for k in keys]
+    for c in (0, 1):
+        pairs, word, head, lang_of = (np.concatenate(x) for x in zip(*parts[c], strict=True))
+        once = np.unique(pairs, return_index=True)[1]
+        classes.append((word[once], head[once], lang_of[once]))
+    parts.clear()
+    levels = [_level([c[k] for c in classes], [c[2] for c in classes]) for k in (0, 1)]
     model = Model(*(list(x) for x in zip(*levels, strict=True)), threshold=0.0)
-    _, tox, ordin = score(model, text, lang)
-    margin = tox - ordin
+    margin = np.concatenate([t - o for _, t, o in (score(model, b.column("text"), b.column("lang")) for _, b in _parts(text, lang))])
     cuts = np.unique(margin)
     rate = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="right") / len(x)
     gain = rate(margin[toxic]) - rate(margin[~toxic])
