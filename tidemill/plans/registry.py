@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-from tidemill.operators import dedup
-from tidemill.plans.catalog import files
+import importlib
+from collections.abc import Callable
 
-FILES_SQL = """WITH files AS (SELECT doc_id AS entry_idx, '/' || source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS path,
-  text, strlen(text) AS size, source AS dev FROM documents)"""
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {}
-ORACLE = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            ORACLE[name] = sql
+            ORACLE[f.__name__] = sql
         return f
 
     return add
 
 
-@query(
-    "dup_groups",
-    FILES_SQL
-    + """ SELECT size, sha256(text) AS hash, count(*) AS n_files, (count(*) - 1) * size AS reclaimable, min(path) AS first_path
-FROM files WHERE size >= 1 GROUP BY size, sha256(text) HAVING count(*) > 1""",
-)
-def dup_groups(spark, sf_dir):
-    return dedup.ranked(dedup.groups(files(spark, sf_dir)).drop("paths"))
+for _topic in ("duplicates", "names", "pieces", "integrity", "likeness", "events"):
+    importlib.import_module(f"tidemill.plans.{_topic}")
