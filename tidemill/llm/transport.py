@@ -10,8 +10,8 @@ may cross packets.
 
 Cases: null and empty streams give one row of status ``empty`` with a null pid;
 streams without usable program tables one of status ``no_program``. Bytes out
-of sync are skipped to the next 0x47 that repeats after 188 bytes (or ends the
-stream); a packet cut short at the end is dropped; so are packets with the
+of sync are skipped to the next 0x47 that repeats after 188 bytes or whose packet
+ends the stream; a packet cut short at the end is dropped; so are packets with the
 transport error flag or scrambling, and payload before the first PES header.
 A gap in the counters counts as an error and what is left is kept. Null ids and
 repeated rows are demultiplexed one by one. Only id and stream are read, so
@@ -175,7 +175,7 @@ def packet_starts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep = ~np.isin(row, bad)
     places, rows = [at[keep]], [row[keep]]
     for r in bad:
-        p, end, got = int(off[r]), int(off[r + 1]), []
+        p, end, got, due = int(off[r]), int(off[r + 1]), [], -1
         sync = np.flatnonzero(buf[p:end] == SYNC) + p
         while True:
             i = np.searchsorted(sync, p)
@@ -184,9 +184,10 @@ def packet_starts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
             p = int(sync[i])
             if p + PACKET > end:
                 break
-            if p + PACKET == end or buf[p + PACKET] == SYNC:
+            if p == due or p + PACKET == end or buf[p + PACKET] == SYNC:
                 got.append(p)
                 p += PACKET
+                due = p
             else:
                 p += 1
         places.append(np.array(got, np.int64))
