@@ -46,9 +46,13 @@ def totals(model: DataFrame) -> DataFrame:
 def parse_registry(texts: DataFrame) -> DataFrame:
     """archive, root, writable from blank-line separated key=value records; bad lines cost only themselves."""
     rec = texts.select(F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n[ \t]*\n")).alias("rec"))
-    lines = F.filter(F.split("rec", "\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit("#")) & x.rlike("^[ \t]*[A-Za-z_]+[ \t]*=") )
-    field = lambda k: F.element_at(F.transform(F.filter(lines, lambda x: x.rlike(f"^[ \t]*{k}[ \t]*=")), lambda x: F.trim(F.regexp_replace(x, "^[^=]*=", ""))), -1)
-    got = rec.select(*[F.when(F.size(F.filter(lines, lambda x, k=k: x.rlike(f"^[ \t]*{k}[ \t]*="))) > 0, field(k)).alias(k) for k in ("archive", "root", "writable")])
+    lines = F.filter(F.split("rec", "\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit("#")) & x.rlike("^[ \t]*[A-Za-z_]+[ \t]*="))
+
+    def field(k: str):
+        mine = F.filter(lines, lambda x: x.rlike(f"^[ \t]*{k}[ \t]*="))
+        return F.when(F.size(mine) > 0, F.trim(F.regexp_replace(F.element_at(mine, -1), "^[^=]*=", "")))
+
+    got = rec.select(*[field(k).alias(k) for k in ("archive", "root", "writable")])
     return got.where("archive is not null and root is not null").withColumn("writable", F.coalesce(F.lower("writable").isin("true", "1", "yes"), F.lit(False)))
 
 

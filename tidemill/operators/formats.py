@@ -29,7 +29,7 @@ def sniff_magic(head: Column) -> Column:
         F.when(begins("504B0304") | begins("504B0506") | begins("504B0708"), "zip/none")
         .when(begins("526172211A0700") | begins("526172211A0701"), "rar/none")
         .when(begins("377ABCAF271C"), "7z/none")
-        .when(begins("504143310A"), "pack/none")
+        .when(begins("4352414D1B01"), "pack/none")
         .when(begins("1F8B08"), "raw/gzip")
         .when(begins("FD377A585A00"), "raw/xz")
         .when(begins("28B52FFD"), "raw/zstd")
