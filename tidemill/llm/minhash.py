@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import cut, read
 from tidemill.llm.kernels import U64, flat, mix, shingles, slices, word_hashes
 
-HASHES, BANDS, BITS, WIDTH = 96, 24, 4, 3
-THRESHOLD = 0.6
+HASHES, BANDS, BITS, WIDTH = 96, 32, 4, 3
+THRESHOLD = 0.5  # copies with about a tenth of their words changed
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
