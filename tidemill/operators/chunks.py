@@ -192,3 +192,43 @@ def cdc_chunks(files: DataFrame, low: int = 256, average: int = 1024, high: int
             yield pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array(pos, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.string())], names=["entry_idx", "pos", "start", "length", "hash"])
 
     return files.select("entry_idx", "content").mapInArrow(run, "entry_idx long, pos int, start long, length int, hash string")
+
+
+def line_cdc_chunks(files: DataFrame, k: int = 8) -> DataFrame:
+    """entry_idx, pos, length, hash: runs of lines that end after a line whose md5 begins with a byte divisible by k."""
+    lines = line_chunks(files)
+    ends = (F.conv(F.substring(F.md5("chunk"), 1, 2), 16, 10).cast("int") % k == 0).cast("int")
+    before = Window.partitionBy("entry_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    no = lines.withColumn("no", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "")
+    g = no.groupBy("entry_idx", F.col("no").cast("int").alias("pos")).agg(text.alias("chunk"))
+    return g.select("entry_idx", "pos", F.octet_length("chunk").alias("length"), F.sha2("chunk", 256).alias("hash"))
+
+
+def solid_blocks(entries: DataFrame, max_bytes: int = 128 << 20, max_entries: int = 8192) -> DataFrame:
+    """index, size, stored, block: a block closes when the method changes, or at its bytes or entries.
+
+    A fold with reset over the order of one archive's entries.
+    """
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("index")
+        size, stored = t.column("size").to_numpy(), t.column("stored").to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        change = np.append(np.flatnonzero(stored[1:] != stored[:-1]) + 1, len(size))
+        block = np.zeros(len(size), np.int32)
+        at = base = k = 0
+        while at < len(size):
+            full = int(np.searchsorted(end, base + max_bytes)) + 1
+            to = min(full, at + max_entries, int(change[np.searchsorted(change, at, side="right")]))
+            block[at:to] = k
+            at, base, k = to, int(end[to - 1]), k + 1
+        return pa.table({"index": t.column("index"), "size": t.column("size"), "stored": t.column("stored"), "block": pa.array(block)})
+
+    slim = entries.select(F.col("index").cast("long").alias("index"), F.col("size").cast("long").alias("size"), "stored", F.lit(0).alias("archive"))
+    return slim.groupBy("archive").applyInArrow(fold, "index long, size long, stored boolean, block int")
+
+
+def sized(content: Column, size: Column) -> Column:
+    """Content of exactly the declared size: cut when it has grown, filled with zeros when it has shrunk."""
+    return F.rpad(F.substring(content, F.lit(1), size.cast("int")), size.cast("int"), F.lit(b"\0"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: suffix, container, codec, writable
 TARGETS = (
     (".zip", "zip", "none", True),
-    (".7z", "7z", "lzma2", False),
+    (".7z", "7z", "none", True),
     (".rar", "rar", "none", False),
     (".iso", "iso", "none", False),
     (".pack", "pack", "none", True),

@@ -143,6 +143,11 @@ class Signer:
         self.jvm = spark.sparkContext._jvm
         self.pair = pair or self.jvm.java.security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
 
+    def public_key(self) -> bytes:
+        """The 32 bytes of the key."""
+        spec = self.jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")
+        return bytes(self.jvm.java.security.KeyFactory.getInstance("Ed25519").getKeySpec(self.pair.getPublic(), spec).getEncoded())[-32:]
+
     def sign(self, digest: bytes) -> bytes:
         s = self.jvm.java.security.Signature.getInstance("Ed25519")
         s.initSign(self.pair.getPrivate())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import codecs
 from tidemill.operators import chunks as C
-from tidemill.sources import pack
+from tidemill.sources import pack, sevenzip
 
 
 def _ordered(entries: DataFrame):
@@ -102,3 +102,60 @@ def write_pack(entries: DataFrame, path: str, target: int = 16 << 20, low: int =
         cut.unpersist()
     total = sum(s or 0 for _, s in names)
     return {"entries": len(names), "in_bytes": total, "out_bytes": os.path.getsize(path), "dedup_saved": total - sum(n for *_, n in table)}
+
+
+def write_7z(entries: DataFrame, path: str, block_bytes: int = 128 << 20, block_entries: int = 8192) -> int:
+    """Solid blocks in order of path."""
+    files = [(r["path"].lstrip("/"), bytes(r["content"])) for r in _ordered(entries)]
+    partial = f"{path}.partial"
+    sevenzip.write(partial, files, block_bytes, block_entries)
+    os.replace(partial, path)
+    return len(files)
+
+
+WRITERS = {
+    "zip/none": write_zip,
+    "7z/none": write_7z,
+    "pack/none": write_pack,
+    **{f"tar/{c}": (lambda e, p, c=c: write_tar(e, p, c)) for c in ("none", "gzip", "bzip2", "xz", "zstd", "lz4")},
+}
+
+
+def create(entries: DataFrame, path: str, fmt: str, overwrite: bool = False):
+    """Write (path, content) rows as an archive of the format, container/codec."""
+    if fmt not in WRITERS:
+        raise ValueError(f"can't write {fmt}")
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    return WRITERS[fmt](entries, path)
+
+
+def convert(spark, source: str, dest: str, fmt: str, overwrite: bool = False):
+    """Entries of an archive written in another format; any that can't be read stops it."""
+    got = spark.read.format("archive").option("content", "true").load(source)
+    bad = got.where("status <> 'ok' or (kind = 'file' and safe_path is null)").select("raw_path", "status").first()
+    if bad:
+        raise ValueError(f"{bad['raw_path']}: {bad['status']}")
+    return create(got.where("kind = 'file'").select(F.col("safe_path").alias("path"), "content"), dest, fmt, overwrite)
+
+
+def extract(spark, source: str, folder: str) -> dict:
+    """Files of archives below a folder; what is there with equal size and CRC-32 is skipped."""
+    import zlib
+
+    got = spark.read.format("archive").option("content", "true").load(source).where("kind = 'file'")
+
+    def there(rel: str, size: int, crc: int) -> bool:
+        p = os.path.join(folder, rel)
+        if not os.path.isfile(p) or os.path.getsize(p) != size:
+            return False
+        with open(p, "rb") as f:
+            return zlib.crc32(f.read()) == crc
+
+    same = F.udf(there, "boolean")
+    good = got.where("status = 'ok' and safe_path is not null and content is not null")
+    todo = good.withColumn("skip", same("safe_path", F.octet_length("content").cast("long"), F.crc32("content")))
+    counts = todo.groupBy("skip").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("b")).collect()
+    todo.where("not skip").repartition("safe_path").sortWithinPartitions("safe_path", "index").select("safe_path", "content", "modified").write.format("extract").mode("append").save(folder)
+    total = {r["skip"]: (r["n"], r["b"]) for r in counts}
+    return {"extracted": total.get(False, (0, 0))[0], "bytes": total.get(False, (0, 0))[1] or 0, "skipped": total.get(True, (0, 0))[0], "refused": got.count() - good.count()}
