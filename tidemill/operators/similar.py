@@ -89,8 +89,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         jump = lab.select(F.col("id").alias("root"), F.col("root").alias("up"))
         step.join(jump, "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "old").write.parquet(f"{base}/{k}")
         now = spark.read.parquet(f"{base}/{k}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
         if now.where("root <> old").isEmpty():
             return now.select("id", "root")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     raise RuntimeError("components: no fixed point in the allowed rounds")
 
 
