@@ -1,7 +1,7 @@
 """Is content worth compressing? Extension verdicts, entropy, summaries, codec plans."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +26,23 @@ def is_image(path: Column) -> Column:
     return extension(path).isin(IMAGES)
 
 
+def byte_entropy(data: bytes | None) -> float:
+    """Shannon entropy in bits per byte; 0 for nothing."""
+    if not data:
+        return 0.0
+    n = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(float)
+    n = n[n > 0]
+    return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum())
+
+
 def entropy(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, size, bits): Shannon entropy of each content in bits per byte.
-
-    Byte counts come from the lengths of what stays when all but one byte value
-    is removed: no explode and no shuffle, one row in, one row out.
-    """
-    hexed = F.hex("content")
-    pairs = F.regexp_extract_all(hexed, F.lit("(..)"), 1)
-    counts = F.aggregate(
-        F.array_sort(pairs),
-        F.struct(F.lit("").alias("last"), F.lit(0).cast("double").alias("run"), F.lit(0).cast("double").alias("sum")),
-        lambda acc, p: F.struct(
-            p.alias("last"),
-            F.when(acc["last"] == p, acc["run"] + 1).otherwise(F.lit(1.0)).alias("run"),
-            (acc["sum"] + F.when((acc["last"] == p) | (acc["run"] == 0), F.lit(0.0)).otherwise(acc["run"] * F.log2(F.greatest(acc["run"], F.lit(1.0))))).alias("sum"),
-        ),
-        lambda acc: acc["sum"] + F.when(acc["run"] > 0, acc["run"] * F.log2(F.greatest(acc["run"], F.lit(1.0)))).otherwise(F.lit(0.0)),
-    )
-    n = F.octet_length("content").cast("double")
-    return files.select(key, "size", F.when(n > 0, F.log2(n) - counts / n).otherwise(F.lit(0.0)).alias("bits"))
+    """(key, size, bits) of each content: one histogram per row in Arrow batches, no explode and no shuffle."""
+
+    @F.pandas_udf("double")
+    def bits(content: pd.Series) -> pd.Series:
+        return content.map(byte_entropy).astype(float)
+
+    return files.select(key, "size", bits("content").alias("bits"))
 
 
 def verdicts(measured: DataFrame) -> DataFrame:

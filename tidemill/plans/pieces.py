@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidemill.operators import chunks, directory
+from tidemill.operators import chunks, directory, similar
 from tidemill.plans.catalog import files, table
 from tidemill.plans.duplicates import FILES
 from tidemill.plans.registry import query
+from tidemill.sources import archives, writers
 
 TARGET = 65536
 
@@ -37,6 +41,35 @@ def fixed_chunks(spark, sf_dir):
     return chunks.fixed_chunks(files(spark, sf_dir)).drop("chunk")
 
 
+@query(LINES + """, f AS (SELECT entry_idx, pos, chunk, CAST(('0x' || substr(md5(chunk), 1, 2)) AS INTEGER) % 8 = 0 AS last FROM chunks),
+n AS (SELECT *, coalesce(sum(CAST(last AS INTEGER)) OVER (PARTITION BY entry_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM f),
+g AS (SELECT entry_idx, CAST(no AS INTEGER) AS pos, string_agg(chunk, '' ORDER BY pos) AS chunk FROM n GROUP BY entry_idx, no)
+SELECT entry_idx, pos, CAST(strlen(chunk) AS INTEGER) AS length, sha256(chunk) AS hash FROM g""")
+def line_cdc_chunks(spark, sf_dir):
+    return chunks.line_cdc_chunks(files(spark, sf_dir))
+
+
+@query("SELECT source || '/' || doc_id || '.txt' AS path, true AS same FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL")
+def archive_roundtrip(spark, sf_dir):
+    """Documents written as an archive with compression and read back by the archive source."""
+    archives.register(spark)
+    d = table(spark, sf_dir, "documents").where("doc_id % 20 = 0 and text is not null")
+    e = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    folder = similar.shared_folder(spark).removeprefix("file://")
+    name = f"{folder}/tidemill-{uuid.uuid4().hex}.tar.zst"
+    os.makedirs(folder, exist_ok=True)
+    writers.create(e, name, "tar/zstd")
+    back = spark.read.format("archive").option("content", "true").load(name).select(F.col("raw_path").alias("path"), F.col("content").alias("again"))
+    return e.join(back, "path", "left").select("path", F.coalesce(F.col("again") == F.col("content"), F.lit(False)).alias("same"))
+
+
+@query()
+def solid_blocks(spark, sf_dir):
+    """Blocks of an archive's entries: at most 64 KiB or 40 entries, one method each."""
+    f = files(spark, sf_dir)
+    return chunks.solid_blocks(f.select(F.col("entry_idx").alias("index"), "size", (F.col("entry_idx") % 50 > 40).alias("stored")), 65536, 40)
+
+
 _EST = """ SELECT (SELECT count(DISTINCT entry_idx) FROM chunks) AS files, count(*) AS chunks, count(DISTINCT hash) AS distinct_chunks, CAST(sum(length) AS BIGINT) AS total_bytes,
   CAST((SELECT sum(m) FROM (SELECT max(length) AS m FROM chunks GROUP BY hash)) AS BIGINT) AS unique_bytes, CAST(sum(length) - (SELECT sum(m) FROM (SELECT max(length) AS m FROM chunks GROUP BY hash)) AS BIGINT) AS saved FROM chunks"""
 
