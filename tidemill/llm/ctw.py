@@ -199,7 +199,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", buckets:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             each = b.column("bucket").to_numpy()
             for k in np.unique(each):
                 buf, off = flat(b.column("text").filter(pa.array(each == k)))
@@ -242,7 +242,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", buckets:
         known = answer.column("gram").combine_chunks()
         bits = np.append(answer.column("bits").to_numpy(), np.float32(0)).astype(float)
         out = []
-        for b in slices(iter(text.to_batches()), "text", 4 << 20):
+        for b in slices(iter(text.to_batches()), "text", 2 << 20):
             buf, off = flat(b.column("text"))
             total = np.zeros(len(off) - 1)
             if len(buf):
