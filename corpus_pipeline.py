@@ -5,8 +5,8 @@ reread as the documents of the next. All but the last return the columns of
 documents.
 
 1. toxicity: documents that the class-conditional models reject go.
-2. near_dedup: of each group of near-duplicates the one of least id stays, of
-   rows that repeat an id the one of least text.
+2. near_dedup: of each group of near-duplicates the one of least id stays. Rows
+   of one id with different texts are judged each; of equal ones one stays.
 3. substring_dedup: passages that an earlier document has too are cut out; a
    document of which no word is left goes. n_chars follows the text.
 4. mixing: each source's documents are scheduled by its weight over time, so
@@ -44,15 +44,18 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(WORK)
-    gone = minhash.near_duplicates(docs, owner=WORK).where("id <> root").select(F.col("id").cast(docs.schema[ID].dataType).alias("__tm_id"))
-    kept = docs.join(gone, docs[ID] == gone["__tm_id"], "left_anti")
+    long, key = F.col(ID).cast("long"), F.col("__tm_u")
     again = cut(docs.groupBy(F.col(ID).alias("__tm_id")).count().where("count > 1 and __tm_id is not null").select("__tm_id"), WORK)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[ID] == again["__tm_id"], "left_anti")
-    few = kept.join(again, kept[ID] == again["__tm_id"], "left_semi")
-    first = few.withColumn("__tm_rn", F.row_number().over(Window.partitionBy(ID).orderBy("text"))).where("__tm_rn = 1")
-    return once.unionByName(_columns(first, docs))
+    rows = docs.withColumn("__tm_u", long)
+    if not again.isEmpty():
+        # of a repeated id the least text keeps it as its key, each other one gets a key above all ids
+        once = rows.join(again, rows[ID] == again["__tm_id"], "left_anti")
+        few = docs.join(again, docs[ID] == again["__tm_id"], "left_semi").withColumn("__tm_rn", F.row_number().over(Window.partitionBy(ID, "text").orderBy(ID))).where("__tm_rn = 1")
+        least = F.col("text") == F.min("text").over(Window.partitionBy(ID))
+        few = few.withColumn("__tm_u", F.when(least, long).otherwise(F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(ID, "text"), 3)))
+        rows = once.unionByName(few.drop("__tm_rn"))
+    gone = minhash.near_duplicates(rows, id_col="__tm_u", owner=WORK).where("id <> root").select(F.col("id").alias("__tm_g"))
+    return _columns(rows.join(gone, key == F.col("__tm_g"), "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

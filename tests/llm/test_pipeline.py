@@ -115,3 +115,12 @@ def test_rows_that_repeat_an_id_and_odd_rows(spark, odd, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert minhash.groups(empty).count() == 0
+
+
+def test_near_dedup_judges_rows_of_one_id_by_their_texts(spark, docs):
+    r = random.Random(3)
+    a, b, c = (" ".join(words(100, r)) for _ in range(3))
+    df = docs([None, a, b, b, c, a, c], ids=[7, 7, 7, 7, 8, 8, None])
+    kept = sorted(((x.doc_id, x.text) for x in P.near_dedup(spark, df, "").collect()), key=str)
+    # of a, held by 7 and 8, one row stays; b's copy goes; c stays for 8, and where the id is null
+    assert [t for _, t in kept].count(a) == 1 and sorted(map(str, kept)) == sorted(map(str, [(7, None), (7, b), (8, c), (None, c), *[x for x in kept if x[1] == a]]))
