@@ -1,29 +1,43 @@
-"""Toxicity by two class-conditional Kneser-Ney models.
-
-A model gives the probability of a word in a language, P_c(word | lang). Counts
-are Kneser-Ney continuation counts: in how many different left contexts a word
-occurs in the class, so a passage that is copied many times counts once. The
-class counts are discounted absolutely and what is taken away goes to shared
-backoff counts, pooled over both classes:
-
-    P_c(w | lang) = (max(n_c - D, 0) + sum(min(n_c, D)) * P_shared(w | lang)) / N_c
-
-Rare expressions, and all whose class counts chance could explain (z below
-``MIN_Z`` or a log ratio below ``MIN_LOG_RATIO``), use the shared counts in both
-models. Words that are not told apart so back off to their first letters,
-which are modelled in the same way, so that new forms of an expression count
-too. A document is toxic if the difference of the two mean log-likelihoods per
-word is above a threshold, set on the training documents.
+"""Toxicity by two class-conditional Kneser-Ney bigram models.
+
+Both models are one chain of back-off; c is the class, u the word before w, L
+the language and p the first letters of w:
+
+    P_c(w | u) = R_c(u, w) + lambda_c(u) P_c(w | L)
+    P_c(w | L) = R_c(L, w) + lambda_c(L) [d S(L, w) F_c(p | L) / S(L, p) + (1 - d) P_c(w)]
+    F_c(p | L) = R_c(L, p) + lambda'_c(L) S(L, p)
+    P_c(w)     = the same summed over the languages, in the same shares for both
+                 classes, and for words never seen F_c(p) / V
+
+S are shared counts of both classes with an absolute discount of ``DISCOUNT``;
+what that takes away is 1 - d and goes to the next lower order. R are the class
+counts above an absolute discount: what the shared counts lead one to expect and
+``DEVIATIONS`` standard deviations of it. So rare expressions, and all that
+chance could explain, have the probability that the shared counts give, the
+same in both models up to lambda = 1 - sum(R), and cancel out; without that the
+noise of thousands of ordinary words drowns a few toxic ones.
+
+Words are counted as Kneser-Ney continuations: how many different words stand
+before them in the class. A pair of words counts once per word that stands
+``FAR`` places before its second: copies of a passage count once, but a fixed
+phrase counts in each text. Each order sums to one (tested).
+
+A document is toxic if the mean log-likelihood per word is larger under the
+toxic model by more than a threshold, which is set on documents that the model
+did not see: each half of the sample is scored by a model of the other half.
 
 The models are fitted on a bounded sample: at most ``MAX_PER_CLASS`` labelled
-documents of each class, the same number of both, first by md5 of their ids.
-All documents are scored, whole, in one pass without a shuffle.
+documents of each class, spread over the languages, of each language the same
+number of both, first by md5 of their ids; equal texts count once. All documents
+are scored, whole, in one pass without a shuffle.
 
 Cases: a null or empty text has no words, log-likelihoods of 0 and is not
-toxic; a null language is a language of its own; null ids and repeated rows are
-scored one by one; labels that are null are ignored, of contradicting ones the
-toxic one holds; without labels of both classes nothing is toxic. Only id, text
-and language are read, so other columns cannot clash.
+toxic; a null or unknown language is scored by P_c(w); null ids and repeated
+rows are scored one by one; of very long texts every word counts; a margin equal
+to the threshold is not toxic; labels that are null are ignored, of
+contradicting ones the toxic one holds; without labels of both classes in any
+language nothing is toxic. Only id, text and language are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -33,69 +47,107 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import read
 from tidemill.llm.kernels import U64, flat, mix, slices, span_hash, words
 
 MAX_PER_CLASS = 3000
-DISCOUNT = 1.0
-MIN_Z = 3.0
-MIN_LOG_RATIO = 1.5
-PREFIX_CHARS = 4
-UNSEEN = np.float32(np.log(1e-7))
+DISCOUNT = 0.75
+DEVIATIONS = 3.0
+PAIR_DEVIATIONS = 5.0  # pairs are many more than words
+FAR = 8
+LETTERS = 4
+NEW_LETTERS = 0.01  # share of words whose first letters are new
 
 
 @dataclass
-class Model:
-    """Per level (words, first letters): sorted keys, log P_ordinary and the log ratio toxic to ordinary."""
+class Table:
+    """Values of both classes (toxic, ordinary) by sorted key."""
+
+    keys: np.ndarray
+    values: np.ndarray  # 2 x keys
 
-    keys: list[np.ndarray]
-    ordinary: list[np.ndarray]
-    ratio: list[np.ndarray]
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it there, place) of each key."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+@dataclass
+class Model:
+    """Probabilities of (language, word) and of words; weights of P_c(w); first letters; pairs and their histories."""
+
+    in_language: Table
+    anywhere: Table
+    down: Table  # by language: weight of P_c(w)
+    down_any: np.ndarray
+    letters: Table
+    pairs: Table
+    history: Table
+    size: int
     threshold: float
 
 
-def _units(text: pa.Array, lang: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """([word keys, first-letters keys], row, left-context keys) of lower-case texts."""
+def _none() -> Model:
+    t = lambda: Table(np.zeros(0, U64), np.zeros((2, 0)))
+    return Model(t(), t(), t(), np.ones(2), t(), t(), t(), 1, np.inf)
+
+
+@dataclass
+class Units:
+    """Words of texts: row, and keys of word, first letters, language, word before, word FAR before."""
+
+    row: np.ndarray
+    word: np.ndarray
+    letters: np.ndarray
+    lang: np.ndarray
+    left: np.ndarray
+    far: np.ndarray
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(a) + b)
+
+
+def units(text: pa.Array, lang: pa.Array) -> Units:
+    """Of lower-case texts. The word before the first one is 0."""
     buf, off = flat(text)
     s, e, row = words(buf, off)
     head = np.flatnonzero((buf & 0xC0) != 0x80)
     nth = np.searchsorted(head, s)
-    cut = np.append(head, len(buf))[np.minimum(nth + PREFIX_CHARS, len(head))] if len(head) else s
+    cut = np.append(head, len(buf))[np.minimum(nth + LETTERS, len(head))] if len(head) else s
     lbuf, loff = flat(lang)
-    salt = mix(span_hash(lbuf, loff[:-1], loff[1:]) + np.asarray(lang.is_valid()).astype(U64))[row]
+    code = np.where(np.asarray(lang.is_valid()), span_hash(lbuf, loff[:-1], loff[1:]) | U64(1), U64(0))
     word = span_hash(buf, s, e)
-    left = np.zeros(len(s), U64)
-    if len(s) > 1:
-        left[1:] = np.where(row[1:] == row[:-1], word[:-1], U64(0))
-    with np.errstate(over="ignore"):
-        keys = [mix(word + salt), mix(span_hash(buf, s, np.minimum(cut, e)) + salt)]
-        pairs = mix(mix(left) + keys[0])
-    return keys, row, pairs
-
-
-def _level(keys: list[np.ndarray], langs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, log P_ordinary, log ratio) from the toxic and the ordinary class's distinct occurrences."""
-    both, where = np.unique(np.concatenate(keys), return_inverse=True)
-    hist = np.zeros(len(both), np.int64)
-    hist[where] = np.concatenate(langs)
-    parts = np.split(where, [len(keys[0])])
-    n = [np.bincount(p, minlength=len(both)).astype(float) for p in parts]
-    pooled = n[0] + n[1]
-    shared = pooled / np.bincount(hist, pooled)[hist]
-    totals = [np.bincount(hist, x)[hist] for x in n]
-    logp = []
-    for x, total in zip(n, totals, strict=True):
-        spare = np.bincount(hist, np.minimum(x, DISCOUNT))[hist]
-        p = np.where(total > 0, (np.maximum(x - DISCOUNT, 0) + spare * shared) / np.maximum(total, 1), shared)
-        logp.append(np.log(np.maximum(p, 1e-12)))
-    share = totals[0] / (totals[0] + totals[1])
-    z = np.abs(n[0] - pooled * share) / np.sqrt(pooled * share * (1 - share) + 1)
-    ratio = logp[0] - logp[1]
-    real = (z >= MIN_Z) & (np.abs(ratio) >= MIN_LOG_RATIO)
-    return both, np.where(real, logp[1], np.log(shared)).astype(np.float32), np.where(real, ratio, 0).astype(np.float32)
+
+    def before(k: int) -> np.ndarray:
+        out = np.zeros(len(s), U64)
+        if len(s) > k:
+            out[k:] = np.where(row[k:] == row[:-k], word[:-k], U64(0))
+        return out
+
+    return Units(row, word, span_hash(buf, s, np.minimum(cut, e)), code[row], before(1), before(FAR))
+
+
+def _counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts of both classes, place of each event) of the events of the toxic and the ordinary class."""
+    keys, where = np.unique(np.concatenate(parts), return_inverse=True)
+    return keys, np.stack([np.bincount(w, minlength=len(keys)).astype(float) for w in np.split(where, [len(parts[0])])]), where
+
+
+def _above(n: np.ndarray, hist: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(R of both classes, lambda of both by history, pooled total by history); hist: number of each key's history."""
+    total = np.stack([np.bincount(hist, x) for x in n])
+    pooled = total.sum(0)
+    expect = total[:, hist] * (n.sum(0) / pooled[hist])
+    chance = np.sqrt(expect * (1 - total / pooled)[:, hist] + 1)
+    r = np.maximum(n - expect - deviations * chance, 0) / np.maximum(total, 1)[:, hist]
+    return r, 1 - np.stack([np.bincount(hist, x, minlength=len(pooled)) for x in r]), pooled
 
 
 def _parts(text: pa.Array, lang: pa.Array) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -106,69 +158,164 @@ def _parts(text: pa.Array, lang: pa.Array) -> Iterator[tuple[int, pa.RecordBatch
         at += b.num_rows
 
 
-def fit(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
-    """Fit on lower-case texts of labelled documents; toxic: booleans."""
-    none = Model([np.zeros(0, U64)] * 2, [np.zeros(0, np.float32)] * 2, [np.zeros(0, np.float32)] * 2, np.inf)
-    if not toxic.any() or toxic.all():
-        return none
-    codes = np.unique([str(x) for x in lang.to_pylist()], return_inverse=True)[1]
-    parts: list[list[list[np.ndarray]]] = [[], []]  # per class: pairs, word keys, first-letters keys, languages
+def _events(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> list[list[np.ndarray]]:
+    """Per class: language, word and first letters of each continuation; word before and pair key of each counted pair."""
+    found: list[list[list[np.ndarray]]] = [[], []]
     for at, b in _parts(text, lang):
-        keys, row, pairs = _units(b.column("text"), b.column("lang"))
+        u = units(b.column("text"), b.column("lang"))
         for c in (0, 1):
-            mine = np.flatnonzero(toxic[at + row] == (c == 0))
-            mine = mine[np.unique(pairs[mine], return_index=True)[1]]
-            parts[c].append([pairs[mine], keys[0][mine], keys[1][mine], codes[at + row[mine]]])
-    classes = []
+            mine = np.flatnonzero((toxic[at + u.row] == (c == 0)) & (u.lang != 0))
+            pair = _join(u.left[mine], u.word[mine])
+            seen, spread = _join(u.lang[mine], pair), _join(u.far[mine], pair)
+            one, two = (np.unique(k, return_index=True)[1] for k in (seen, spread))
+            found[c].append([seen[one], u.lang[mine][one], u.word[mine][one], u.letters[mine][one], spread[two], u.left[mine][two], pair[two]])
+    out = []
     for c in (0, 1):
-        pairs, word, head, lang_of = (np.concatenate(x) for x in zip(*parts[c], strict=True))
-        once = np.unique(pairs, return_index=True)[1]
-        classes.append((word[once], head[once], lang_of[once]))
-    parts.clear()
-    levels = [_level([c[k] for c in classes], [c[2] for c in classes]) for k in (0, 1)]
-    model = Model(*(list(x) for x in zip(*levels, strict=True)), threshold=0.0)
-    margin = np.concatenate([t - o for _, t, o in (score(model, b.column("text"), b.column("lang")) for _, b in _parts(text, lang))])
-    cuts = np.unique(margin)
+        seen, la, w, p, spread, left, pair = (np.concatenate(x) for x in zip(*found[c], strict=True))
+        one, two = (np.unique(k, return_index=True)[1] for k in (seen, spread))
+        out.append([la[one], w[one], p[one], left[two], pair[two]])
+    return out
+
+
+def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
+    """The two models of lower-case texts (threshold 0); toxic: booleans."""
+    ev = _events(text, lang, toxic)
+    if not len(ev[0][0]) or not len(ev[1][0]):
+        return _none()
+    both = [np.concatenate(x) for x in zip(*ev, strict=True)]
+    langs, lang_of = np.unique(both[0], return_inverse=True)
+    # words and their first letters, by language
+    keys, n, where = _counts([_join(e[0], e[1]) for e in ev])
+    heads, m, hwhere = _counts([_join(e[0], e[2]) for e in ev])
+    hist, word, head = (np.zeros(len(keys), x.dtype) for x in (lang_of, both[1], hwhere))
+    hist[where], word[where], head[where] = lang_of, both[1], hwhere
+    hhist, hletters = np.zeros(len(heads), lang_of.dtype), np.zeros(len(heads), U64)
+    hhist[hwhere], hletters[hwhere] = lang_of, both[2]
+    r, lam, pooled = _above(n, hist, DEVIATIONS)
+    rp, lamp, _ = _above(m, hhist, DEVIATIONS)
+    kept = np.maximum(n.sum(0) - DISCOUNT, 0)
+    d = np.bincount(hist, kept) / pooled
+    share = kept / np.bincount(hist, kept)[hist]
+    hshare = np.bincount(head, share, minlength=len(heads))
+    f = rp + lamp[:, hhist] * hshare
+    q = r + lam[:, hist] * d[hist] * share * f[:, head] / hshare[head]
+    weight = pooled / pooled.sum()
+    down = lam * (1 - d)
+    # without the language: the same shares of the languages for both classes
+    letters, at = np.unique(hletters, return_inverse=True)
+    fl = np.stack([np.bincount(at, x * weight[hhist]) for x in f]) * (1 - NEW_LETTERS)
+    names, at = np.unique(word, return_inverse=True)
+    size = len(names)
+    plain = np.stack([np.bincount(at, x * weight[hist]) for x in q])
+    down_any = (down * weight).sum(1)
+    lplace = np.searchsorted(letters, hletters[head])
+    whole = plain[:, at] + down_any[:, None] * (fl[:, lplace] + NEW_LETTERS / size) / size
+    probs = q + down[:, hist] * whole
+    any_probs = np.zeros((2, size))
+    any_probs[:, at] = whole
+    # pairs, by the word before
+    pkeys, n, pwhere = _counts([e[4] for e in ev])
+    lefts, left_of = np.unique(both[3], return_inverse=True)
+    phist = np.zeros(len(pkeys), left_of.dtype)
+    phist[pwhere] = left_of
+    r, lam, _ = _above(n, phist, PAIR_DEVIATIONS)
+    some, bent = (r > 0).any(0), (lam < 1).any(0)
+    return Model(Table(keys, probs), Table(names, any_probs), Table(langs, down), down_any, Table(letters, fl), Table(pkeys[some], r[:, some]), Table(lefts[bent], lam[:, bent]), size, 0.0)
+
+
+def margin(model: Model, text: pa.Array, lang: pa.Array) -> np.ndarray:
+    return np.concatenate([t - o for _, t, o in (score(model, b.column("text"), b.column("lang")) for _, b in _parts(text, lang))] or [np.zeros(0)])
+
+
+def fit(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
+    """Models of lower-case texts of labelled documents, with the threshold."""
+    if not toxic.any() or toxic.all():
+        return _none()
+    half = np.zeros(len(toxic), np.int64)  # of each class every other document
+    for c in (True, False):
+        half[toxic == c] = np.arange((toxic == c).sum()) % 2
+    unseen = np.zeros(len(toxic))
+    for k in (0, 1):
+        seen, mine = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if toxic[seen].any() and not toxic[seen].all():
+            model = fit_counts(text.take(pa.array(seen)), lang.take(pa.array(seen)), toxic[seen])
+            unseen[mine] = margin(model, text.take(pa.array(mine)), lang.take(pa.array(mine)))
+    cuts = np.unique(np.append(unseen, 0.0))
     rate = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="right") / len(x)
-    gain = rate(margin[toxic]) - rate(margin[~toxic])
-    best = int(np.flatnonzero(gain >= gain.max() - 0.002)[-1])  # of cuts as good as the best, the highest
-    above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
-    model.threshold = float(max((cuts[best] + above) / 2 if cuts[best] > 0 else min(above / 2, 1e-3), 1e-6))
+    gain = rate(unseen[toxic]) - rate(unseen[~toxic])
+    best = np.flatnonzero(gain >= gain.max() - 0.002)
+    best = int(best[np.argmin(np.abs(cuts[best]))])  # of cuts as good as the best, the nearest to 0
+    model = fit_counts(text, lang, toxic)
+    if len(model.in_language.keys):
+        above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
+        model.threshold = float(0.0 if cuts[best] <= 0 < above else (cuts[best] + above) / 2)
     return model
 
 
+def word_probabilities(model: Model, u: Units) -> np.ndarray:
+    """P_c(w | u) of each word under both models."""
+    p = np.empty((2, len(u.word)))
+    hit, at = model.in_language.find(_join(u.lang, u.word))
+    p[:, hit] = model.in_language.values[:, at[hit]]
+    rest = np.flatnonzero(~hit)
+    if len(rest):
+        w, size = u.word[rest], model.size
+        there, at = model.letters.find(u.letters[rest])
+        f = np.where(there, model.letters.values[:, at] if len(model.letters.keys) else 0.0, 0.0) + NEW_LETTERS / size
+        low = model.down_any[:, None] * f / size
+        there, at = model.anywhere.find(w)
+        if there.any():
+            low[:, there] = model.anywhere.values[:, at[there]]
+        known, at = model.down.find(u.lang[rest])
+        if known.any():
+            low[:, known] *= model.down.values[:, at[known]]
+        p[:, rest] = low
+    bent, at = model.history.find(u.left)
+    if bent.any():
+        p[:, bent] *= model.history.values[:, at[bent]]
+        bent = np.flatnonzero(bent)
+        more, at = model.pairs.find(_join(u.left[bent], u.word[bent]))
+        p[:, bent[more]] += model.pairs.values[:, at[more]]
+    return p
+
+
 def score(model: Model, text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, mean toxic, mean ordinary log-likelihood) of each text."""
-    keys, row, _ = _units(text, lang)
-    n = np.bincount(row, minlength=len(text))
-    p, d = np.full(len(row), UNSEEN), np.zeros(len(row), np.float32)
-    for level in (1, 0):
-        have = model.keys[level]
-        if len(have) and len(row):
-            i = np.minimum(np.searchsorted(have, keys[level]), len(have) - 1)
-            hit = have[i] == keys[level]
-            ratio = model.ratio[level][i]
-            use = hit & ((ratio != 0) | (level == 1))
-            d = np.where(use, ratio, d)
-            p = np.where(hit, model.ordinary[level][i], p) if level == 0 else p
-    mean = lambda x: np.bincount(row, weights=x, minlength=len(text)) / np.maximum(n, 1)
-    ordinary = mean(p)
-    return n, ordinary + mean(d), ordinary
+    u = units(text, lang)
+    n = np.bincount(u.row, minlength=len(text))
+    logs = np.log(np.maximum(word_probabilities(model, u), 1e-300))
+    toxic, ordinary = (np.bincount(u.row, weights=x, minlength=len(text)) / np.maximum(n, 1) for x in logs)
+    return n, toxic, ordinary
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id") -> Model:
-    """The model of a bounded, balanced sample of labelled documents."""
-    known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("__tm_id")).agg((F.max("toxic") > 0).alias("__tm_toxic"))
-    known = known.where("__tm_id is not null").withColumn("__tm_h", F.md5(F.col("__tm_id").cast("string")))
-    picks = [known.where(F.col("__tm_toxic") == c).orderBy("__tm_h", "__tm_id").limit(max_per_class) for c in (True, False)]
+    """The model of a bounded sample of labelled documents, balanced in each language."""
+    known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("__tm_id")).agg((F.max("toxic") > 0).alias("__tm_toxic")).where("__tm_id is not null")
+    rows = docs.join(known, docs[id_col] == known["__tm_id"]).where(docs["lang"].isNotNull() & docs["text"].isNotNull())
+    ids = rows.select("__tm_id", docs["lang"].cast("string").alias("__tm_lang"), "__tm_toxic").distinct().withColumn("__tm_h", F.md5(F.col("__tm_id").cast("string")))
+    nth = F.row_number().over(Window.partitionBy("__tm_toxic", "__tm_lang").orderBy("__tm_h", "__tm_id"))
+    # of each class the first of every language, then the second of every language, ...
+    spread = ids.withColumn("__tm_nth", nth)
+    picks = [spread.where(F.col("__tm_toxic") == c).orderBy("__tm_nth", "__tm_h", "__tm_lang").limit(max_per_class) for c in (True, False)]
     sample = picks[0].union(picks[1])  # bounded by the parameter, hence the broadcast
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__tm_id"]).select("__tm_h", F.lower("text").alias("text"), docs["lang"].alias("lang"), "__tm_toxic").toArrow()
-    rows = rows.sort_by([("__tm_h", "ascending"), ("text", "ascending")])
-    toxic = rows.column("__tm_toxic").to_numpy()
-    m = int(min(toxic.sum(), (~toxic).sum()))
-    keep = np.sort(np.concatenate([np.flatnonzero(toxic)[:m], np.flatnonzero(~toxic)[:m]]))
-    rows = rows.take(pa.array(keep))
-    return fit(rows.column("text").combine_chunks(), rows.column("lang").combine_chunks(), rows.column("__tm_toxic").to_numpy())
+    got = docs.join(F.broadcast(sample), (docs[id_col] == sample["__tm_id"]) & (docs["lang"].cast("string") == sample["__tm_lang"])).select("__tm_nth", "__tm_h", F.lower("text").alias("text"), "__tm_lang", "__tm_toxic").where("text is not null").toArrow()
+    got = got.sort_by([("__tm_h", "ascending"), ("text", "ascending")])
+    toxic, lang = got.column("__tm_toxic").to_numpy(), got.column("__tm_lang").combine_chunks()
+    text = got.column("text").combine_chunks()
+    keep = np.zeros(len(toxic), bool)
+    buf, off = flat(text)
+    code = span_hash(*(lambda b, o: (b, o[:-1], o[1:]))(*flat(lang)))
+    same = _join(code, span_hash(buf, off[:-1], off[1:])) if len(toxic) else code
+    once = np.zeros(len(toxic), bool)
+    once[np.unique(np.stack([same, toxic.astype(U64)], 1), axis=0, return_index=True)[1] if len(toxic) else []] = True
+    for c in np.unique(code):
+        mine = [np.flatnonzero(once & (code == c) & (toxic == k)) for k in (True, False)]
+        m = min(len(x) for x in mine)
+        for x in mine:
+            keep[x[:m]] = True
+    take = pa.array(np.flatnonzero(keep))
+    return fit(text.take(take), lang.take(take), toxic[keep])
+
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
