@@ -67,6 +67,35 @@ def _at_exit() -> None:
 
 atexit.register(_at_exit)
 
+class Numbers:
+    """Long numbers for the ids of df, in the order of the ids, whatever their type.
+
+    Integral ids are their own numbers. Others are numbered once by a range sort
+    and written to the shared folder; monotonic numbers of sorted partitions
+    keep the order.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, owner: str = "query"):
+        self.kind = df.schema[id_col].dataType.simpleString()
+        self.table = None
+        if self.kind not in ("tinyint", "smallint", "int", "bigint"):
+            ids = df.select(F.col(f"`{id_col}`").alias("__tm_id")).where("__tm_id is not null").distinct().orderBy("__tm_id")
+            self.table = cut(ids.withColumn("__tm_no", F.monotonically_increasing_id()), owner)
+        self.plain = self.kind if self.table is not None else "bigint"
+
+    def number(self, df: DataFrame, id_col: str, name: str) -> DataFrame:
+        """df with the number of its id as a further column; null for a null id."""
+        if self.table is None:
+            return df.withColumn(name, F.col(f"`{id_col}`").cast("long"))
+        return df.join(self.table.withColumnsRenamed({"__tm_no": name}), df[id_col] == self.table["__tm_id"], "left").drop("__tm_id")
+
+    def name(self, df: DataFrame, number: str, id_col: str, plain: bool = False) -> DataFrame:
+        """df with ids in place of the column of numbers; integral ones in their own type, or, plain, as long."""
+        if self.table is None:
+            return df.withColumn(number, F.col(number).cast("long" if plain else self.kind)).withColumnRenamed(number, id_col)
+        return df.join(self.table.select(F.col("__tm_no").alias("__tm_m"), F.col("__tm_id").alias(f"__tm_{id_col}")), F.col(number) == F.col("__tm_m"), "left").drop("__tm_m", number).withColumnRenamed(f"__tm_{id_col}", id_col)
+
+
 #: A token is a run of characters other than blanks and line ends.
 TOKEN_RE = "[^ \\n\\t\\r]+"
 
