@@ -1,5 +1,4 @@
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +25,30 @@ def brute(texts, depth):
     def pe(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    @lru_cache(None)
-    def pw(node, ctx):
-        e = pe(*count[node, ctx])
-        if len(ctx) == depth:
-            return e
-        s = sum(pw(node, c) for c in below[node, ctx])
-        return np.logaddexp(math.log(0.5) + e, math.log(0.5) + s)
-
-    def prob(node, ctx, d, bit):
-        n = count[node, ctx[:d]]
-        kt = (n[bit] + 0.5) / (sum(n) + 1)
-        if d == depth:
-            return kt
-        beta = math.exp(math.log(0.5) + pe(*n) - pw(node, ctx[:d]))
-        return beta * kt + (1 - beta) * prob(node, ctx, d + 1, bit)
-
+    def pw(node, ctx, gone, bit):
+        """log P_w; gone: the context of an occurrence of `bit` that is taken out, or None."""
+        n = list(count[node, ctx])
+        if gone is not None and gone[: len(ctx)] == ctx:
+            n[bit] -= 1
+        else:
+            gone = None
+        if gone is None and (node, ctx) in whole:
+            return whole[node, ctx]
+        e = pe(*n)
+        out = e if len(ctx) == depth else np.logaddexp(math.log(0.5) + e, math.log(0.5) + sum(pw(node, c, gone, bit) for c in below[node, ctx]))
+        if gone is None:
+            whole[node, ctx] = out
+        return out
+
+    whole = {}
     out = []
     for t in texts:
         bits = 0.0
         for i, x in enumerate(t):
             ctx = bytes(t[i - k] if i - k >= 0 else 0 for k in range(1, depth + 1))
             for b in range(8):
-                bits -= math.log2(prob((b, x >> (8 - b)), ctx, 0, x >> (7 - b) & 1))
+                node, bit = (b, x >> (8 - b)), x >> (7 - b) & 1
+                bits -= (pw(node, b"", None, bit) - pw(node, b"", ctx, bit)) / math.log(2)
         out.append(bits)
     return out
 
@@ -86,3 +86,20 @@ def test_repetition_is_cheaper_than_noise(docs):
     noise = "".join(chr(c) for c in rng.integers(33, 127, 4000))
     got = {r.doc_id: r.bits_per_byte for r in C.score(docs(["the same old words again " * 160, noise])).collect()}
     assert got[0] < 0.5 < got[1]
+
+
+def test_what_occurs_once_is_not_known(docs):
+    """A text that stands alone in the corpus codes worse than one that another row repeats."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(c) for c in rng.integers(33, 127, 200)) for _ in range(30)]
+    got = {r.doc_id: r.bits_per_byte for r in C.score(docs([*texts, texts[0]])).collect()}
+    assert got[0] == got[30] and got[0] < min(got[i] for i in range(1, 30)) - 0.3
+    assert min(got[i] for i in range(1, 30)) > 6.5  # log2 94 bits are the least
+    assert abs(C.score(docs(["q"])).first().code_bits - 8) < 1e-6
+
+
+def test_buckets_by_bytes(docs, monkeypatch):
+    texts = [f"text {i} of some words {i * i}" for i in range(40)]
+    want = sorted((r.doc_id, round(r.code_bits, 3)) for r in C.score(docs(texts), buckets=1).collect())
+    monkeypatch.setattr(C, "BUCKET_BYTES", 100)
+    assert sorted((r.doc_id, round(r.code_bits, 3)) for r in C.score(docs(texts)).collect()) == want

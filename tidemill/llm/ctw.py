@@ -7,13 +7,19 @@ by Krichevsky-Trofimov, and is mixed with its longer contexts:
 
     P_w(s) = P_e(s) / 2 + (prod over longer contexts P_w) / 2,  P_w = P_e at full depth.
 
-Conditional on the corpus, the next bit then has the probability
-``beta * KT + (1 - beta) * (that of the longer context)`` from depth 0 down,
-beta = P_e / (2 P_w). The score of a document is its code length in bits and
-per byte under the model of all documents.
+Each byte is coded by the trees of all other bytes of the corpus: its own
+occurrence is taken out, so a context that occurs once predicts nothing of
+itself. The probability of a bit is P_w(all) / P_w(all but it) at the root, and
+from the deepest context up
+
+    p = beta KT' + (1 - beta) (p of the longer context),
+
+KT' and P_e' being without the occurrence, beta = P_e' / (P_e' + the product of
+the longer contexts' P_w'). The score of a document is its code length in bits
+and per byte.
 
 Distribution. Only grams (context and byte) that occur matter. Documents are
-hashed to buckets of a bounded size; each bucket counts its grams once, the
+hashed to buckets of about ``BUCKET_BYTES`` of text; each bucket counts its grams once, the
 corpus counts are their sums, and the code length of each gram goes back to
 the buckets that asked for it; so nothing that grows with the corpus is ever
 collected or broadcast. Trees are built per pair of last context bytes: those
@@ -22,8 +28,9 @@ most, pass through the driver.
 
 Cases: null and empty texts have 0 bytes, 0 bits and a null rate; null ids and
 repeated rows are scored one by one (and counted as often as they occur); long
-texts are scored whole; bytes before a text read as 0. Only id and text are
-read, so other columns cannot clash.
+texts are scored whole; equal texts have equal scores; bytes before a text read
+as 0; the only byte of a corpus costs 8 bits. Only id and text are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -40,6 +47,7 @@ from tidemill.llm.common import cut, read
 from tidemill.llm.kernels import U64, flat, slices
 
 DEPTH = 4
+BUCKET_BYTES = 32 << 20
 HALF = np.log(0.5)
 
 
@@ -71,7 +79,10 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Level:
-    """Nodes of all contexts of one depth, for one bit position: keys, counts, log P_e, log P_w."""
+    """Nodes of all contexts of one depth, for one bit position: keys, counts, log P_e, log P_w.
+
+    gain: log of the product of the longer contexts' P_w, less log P_e.
+    """
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, bit: int):
         node = grams >> U64(8 - bit)
@@ -82,6 +93,7 @@ class _Level:
         self.n0 = np.add.reduceat(np.where(one, 0, counts), start).astype(float)
         self.pe = log_kt(self.n0, self.n1)
         self.pw = self.pe
+        self.gain = np.zeros(0)
 
     def find(self, node: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.key, node)
@@ -109,6 +121,7 @@ def build(grams: np.ndarray, counts: np.ndarray, lowest: int, depth: int = DEPTH
                 below = out[-1][bit]
                 s = np.bincount(level[bit].find(_shorter(below.key, bit)), below.pw, minlength=len(level[bit].key))
                 level[bit].pw = np.logaddexp(HALF + level[bit].pe, HALF + s)
+                level[bit].gain = s - level[bit].pe
         out.append(level)
     return out[::-1]
 
@@ -119,11 +132,17 @@ class Top:
     def __init__(self, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
         self.n = [np.stack([n0.sum(0), n1.sum(0)]), np.stack([n0, n1])]
         pe1 = log_kt(n0, n1)
-        pw1 = np.logaddexp(HALF + pe1, HALF + below)
-        pw1 = np.where(n0 + n1 > 0, pw1, 0.0)
-        pe0 = log_kt(*self.n[0])
-        pw0 = np.logaddexp(HALF + pe0, HALF + pw1.sum(0))
-        self.beta = [np.exp(HALF + pe0 - pw0), np.exp(np.minimum(HALF + pe1 - pw1, 0))]
+        pw1 = np.where(n0 + n1 > 0, np.logaddexp(HALF + pe1, HALF + below), 0.0)
+        self.gain = [pw1.sum(0) - log_kt(*self.n[0]), below - pe1]
+
+
+def _without(own: np.ndarray, other: np.ndarray, gain: np.ndarray | None, p: np.ndarray | None) -> np.ndarray:
+    """Probability of the bit that occurs `own` times here, one of them taken out; p: that of the longer context."""
+    kt = (own - 0.5) / (own + other)
+    if p is None:
+        return kt
+    beta = 1 / (1 + np.exp(np.clip(gain + np.log(kt) - np.log(p), -700, 700)))
+    return beta * kt + (1 - beta) * p
 
 
 def code_lengths(grams: np.ndarray, counts: np.ndarray, top: Top, depth: int = DEPTH) -> np.ndarray:
@@ -139,19 +158,13 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, top: Top, depth: int = D
         for d in range(depth, 1, -1):
             lv = levels[d - 2][bit]
             i = lv.find(node)
-            kt = (np.where(one, lv.n1[i], lv.n0[i]) + 0.5) / (lv.n0[i] + lv.n1[i] + 1)
-            if p is None:
-                p = kt
-            else:
-                beta = np.exp(np.minimum(HALF + lv.pe[i] - lv.pw[i], 0))
-                p = beta * kt + (1 - beta) * p
+            n0, n1 = lv.n0[i], lv.n1[i]
+            p = _without(np.where(one, n1, n0), np.where(one, n0, n1), lv.gain[i] if d < depth else None, p)
             node = _shorter(node, bit)
         t = (1 << bit) | (x >> (8 - bit))
         for d, at in ((1, (last, t)), (0, (t,))):
             n0, n1 = top.n[d][0][at], top.n[d][1][at]
-            kt = (np.where(one, n1, n0) + 0.5) / (n0 + n1 + 1)
-            beta = top.beta[d][at]
-            p = beta * kt + (1 - beta) * p
+            p = _without(np.where(one, n1, n0), np.where(one, n0, n1), top.gain[d][at], p)
         bits -= np.log2(p)
     return bits
 
@@ -189,33 +202,45 @@ def _sum(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", buckets: int | None = None, owner: str = "query") -> DataFrame:
     """id, n_bytes, code_bits, bits_per_byte: one row per row of docs.
 
-    buckets: into how many parts the texts are hashed (default: the shuffle
-    partitions of the session); a part must fit in a worker's memory.
+    buckets: into how many parts the texts are hashed (default: one for each
+    BUCKET_BYTES); a part must fit in a worker's memory.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
     texts = docs.select(F.col(id_col).alias("id"), "text", F.pmod(F.xxhash64(F.col(id_col), F.col("text")), F.lit(buckets)).cast("int").alias("bucket"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        mine: list[tuple[np.ndarray, np.ndarray]] = []  # of the bucket at hand: rows come sorted by it
+        now = -1
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not mine:
+                return
+            g, n = _sum(*(np.concatenate(x) for x in zip(*mine, strict=True)))
+            mine.clear()
+            for i in range(0, len(g), 1 << 18):
+                part = g[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], names=["bucket", "gram", "n"])
+
         for b in slices(batches, "text", 2 << 20):
             each = b.column("bucket").to_numpy()
             for k in np.unique(each):
+                if k != now:
+                    yield from done()
+                    now = int(k)
                 buf, off = flat(b.column("text").filter(pa.array(each == k)))
                 g, n = np.unique(gram_keys(buf, off, depth), return_counts=True)
-                mine = have.setdefault(int(k), [])
                 mine.append((g, n))
                 while len(mine) > 1 and len(mine[-2][0]) < 2 * len(mine[-1][0]):
                     (g2, n2), (g1, n1) = mine.pop(), mine.pop()
                     mine.append(_sum(np.concatenate([g1, g2]), np.concatenate([n1, n2])))
-        for k, mine in have.items():
-            g, n = _sum(*(np.concatenate(x) for x in zip(*mine, strict=True)))
-            for i in range(0, len(g), 1 << 18):
-                part = g[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], names=["bucket", "gram", "n"])
+        yield from done()
 
-    asked = cut(texts.where(F.octet_length("text") > 0).repartition(buckets, "bucket").mapInArrow(count, "bucket int, gram long, n long"), owner)
+    by_bucket = texts.where(F.octet_length("text") > 0).repartition("bucket").sortWithinPartitions("bucket")
+    asked = cut(by_bucket.mapInArrow(count, "bucket int, gram long, n long"), owner)
     corpus = cut(asked.groupBy("gram").agg(F.sum("n").alias("n")), owner)
     subtree = corpus.repartition(F.shiftright("gram", 8 * (depth - 1)))
 
