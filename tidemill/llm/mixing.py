@@ -4,20 +4,22 @@ Each source has a weight schedule w(t), linear between knots, over training
 time t in [0, 1]. Its integral, scaled to the token budget, is the source's
 cumulative token demand D(t). The documents of a source, in the order of the
 md5 of their ids, supply tokens; a document whose first token is the c-th of
-its source stands at t = D^-1(c). A source that runs out is repeated for up to
-``max_epochs``; supply beyond the demand D(1) is not scheduled. The result is
+its source stands at t = D^-1(c). A source that runs out is repeated until its
+demand is met (or ``max_epochs`` times where that is given); supply beyond the demand D(1) is not scheduled. The result is
 range-sorted by position.
 
 Base weights are a source's tokens to the power 3/4, times the shape of its
 schedule. All arithmetic runs in the JVM; running sums are
-taken inside (source, 12-bit hash bucket), on top of the buckets' offsets, so
-that a hot source is spread over 4096 tasks.
+taken inside (source, 16-bit hash bucket), on top of the buckets' offsets, so
+that a hot source is spread over 65536 groups. Rows travel as one struct.
 
 Cases: a null source is a source of its own; null or empty texts have no
 tokens and stand where the next document of their source does; rows with a
-null id come first in their source; repeated rows are scheduled each; a source
-or table without tokens schedules nothing. Columns are addressed under
-internal names, so other columns of any name pass through.
+null id come first in their source; of rows with one id the shorter comes
+first, and equal ones are scheduled each; ties of position are ordered by
+source, id and epoch; a document stands where its first token does, however
+long it is; a source or table without tokens schedules nothing. Columns of any
+name pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ SHAPES: tuple[tuple[tuple[float, float], ...], ...] = (
     ((0.0, 1.0), (0.5, 1.0), (1.0, 1.0)),
     ((0.0, 0.25), (0.5, 0.5), (1.0, 2.0)),
 )
-MAX_EPOCHS = 4
 SCALE = 1_000_000_000
 
 
@@ -69,7 +70,7 @@ def invert(x: Column, shape: Column) -> Column:
     return out
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, budget_tokens: int | None = None, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, owner: str = "query", only_docs: bool = False) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int | None = None, budget_tokens: int | None = None, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, owner: str = "query", only_docs: bool = False) -> DataFrame:
     """Rows of docs, each with n_tokens, epoch and position (billionths of training time), in order of position.
 
     Columns of docs with these three names are replaced; with only_docs the
@@ -77,31 +78,35 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, budget_tokens: int | None
     """
     if not only_docs:
         docs = docs.drop("n_tokens", "epoch", "position")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    base = docs.select("*", (n_tokens() if tokens is None else tokens).alias("__tm_n"), key.alias("__tm_key"), F.substring(key, 1, 3).alias("__tm_b"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")).alias("__tm_s"))
+    key = F.coalesce(F.md5(F.col(f"`{id_col}`").cast("string")), F.lit(""))
+    source = F.col(f"`{source_col}`")
+    base = docs.select(
+        F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("r"),
+        (n_tokens() if tokens is None else tokens).alias("n"), key.alias("k"), F.substring(key, 1, 4).alias("b"), F.col(f"`{id_col}`").alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("s"),
+    )
     # cut once (no text): tokens per (source, bucket) with running offsets per source
-    sums = cut(base.groupBy("__tm_s", "__tm_b").agg(F.sum("__tm_n").alias("__tm_sum"), F.first(shape_of(F.col(source_col))).alias("__tm_shape")), owner)
+    sums = cut(base.groupBy("s", "b").agg(F.sum("n").alias("sum"), F.first(shape_of(F.col("source"))).alias("shape")), owner)
     areas = F.lit(0.0)
     for k, knots in enumerate(SHAPES):
-        areas = F.when(F.col("__tm_shape") == k, F.lit(_area(knots))).otherwise(areas)
-    per = sums.groupBy("__tm_s").agg(F.sum("__tm_sum").alias("__tm_supply"), F.first("__tm_shape").alias("__tm_shape")).withColumn("__tm_w", F.sqrt(F.col("__tm_supply").cast("double")) * F.sqrt(F.sqrt(F.col("__tm_supply").cast("double"))) * areas)
-    total = per.agg(F.sum("__tm_w").alias("__tm_wsum"), F.sum("__tm_supply").alias("__tm_all"))
-    demand = (F.lit(float(budget_tokens)) if budget_tokens is not None else F.col("__tm_all").cast("double")) * F.col("__tm_w") / F.col("__tm_wsum")
-    per = per.crossJoin(total).select("__tm_s", "__tm_supply", "__tm_shape", demand.alias("__tm_demand")).where("__tm_supply > 0")
-    before = F.sum("__tm_sum").over(Window.partitionBy("__tm_s").orderBy("__tm_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("__tm_s", "__tm_b", F.coalesce(before, F.lit(0)).alias("__tm_before")).join(per, "__tm_s")
-    inside = F.sum("__tm_n").over(Window.partitionBy("__tm_s", "__tm_b").orderBy("__tm_key", id_col).rowsBetween(Window.unboundedPreceding, -1))
-    placed = base.withColumn("__tm_in", F.coalesce(inside, F.lit(0))).join(offsets, ["__tm_s", "__tm_b"])
-    epochs = F.least(F.lit(max_epochs), F.ceil(F.col("__tm_demand") / F.col("__tm_supply"))).cast("int")
-    each = placed.withColumn("__tm_e", F.explode(F.sequence(F.lit(0), F.greatest(epochs - 1, F.lit(0)))))
-    c = (F.col("__tm_e").cast("long") * F.col("__tm_supply") + F.col("__tm_before") + F.col("__tm_in")).cast("double")
-    each = each.withColumn("__tm_x", c / F.col("__tm_demand")).where("__tm_x < 1")
-    position = F.floor(invert(F.col("__tm_x"), F.col("__tm_shape")) * SCALE).cast("long")
-    own = [F.col(f"`{x}`") for x in docs.columns]
-    ordered = each.withColumn("__tm_p", position).orderBy("__tm_p", source_col, id_col, "__tm_e")
+        areas = F.when(F.col("shape") == k, F.lit(_area(knots))).otherwise(areas)
+    per = sums.groupBy("s").agg(F.sum("sum").alias("supply"), F.first("shape").alias("shape")).withColumn("w", F.sqrt(F.col("supply").cast("double")) * F.sqrt(F.sqrt(F.col("supply").cast("double"))) * areas)
+    total = per.agg(F.sum("w").alias("wsum"), F.sum("supply").alias("all"))
+    demand = (F.lit(float(budget_tokens)) if budget_tokens is not None else F.col("all").cast("double")) * F.col("w") / F.col("wsum")
+    per = per.crossJoin(total).select("s", "supply", "shape", demand.alias("demand")).where("supply > 0")
+    before = F.sum("sum").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("s", "b", F.coalesce(before, F.lit(0)).alias("before")).join(per, "s")
+    inside = F.sum("n").over(Window.partitionBy("s", "b").orderBy("k", "id", "n").rowsBetween(Window.unboundedPreceding, -1))
+    placed = base.withColumn("in", F.coalesce(inside, F.lit(0))).join(offsets, ["s", "b"])
+    epochs = F.ceil(F.col("demand") / F.col("supply")).cast("int")
+    epochs = epochs if max_epochs is None else F.least(F.lit(max_epochs), epochs)
+    each = placed.withColumn("e", F.explode(F.sequence(F.lit(0), F.greatest(epochs - 1, F.lit(0)))))
+    c = (F.col("e").cast("long") * F.col("supply") + F.col("before") + F.col("in")).cast("double")
+    each = each.withColumn("x", c / F.col("demand")).where("x < 1")
+    ordered = each.withColumn("p", F.floor(invert(F.col("x"), F.col("shape")) * SCALE).cast("long")).orderBy("p", "source", "id", "e")
+    own = [F.col("r").getField(x).alias(x) for x in docs.columns]
     if only_docs:
         return ordered.select(*own)
-    return ordered.select(*own, F.col("__tm_n").alias("n_tokens"), F.col("__tm_e").alias("epoch"), F.col("__tm_p").alias("position"))
+    return ordered.select(*own, F.col("n").alias("n_tokens"), F.col("e").alias("epoch"), F.col("p").alias("position"))
 
 
 def _invert_sql() -> str:
@@ -116,14 +121,15 @@ def _invert_sql() -> str:
     return out + " END"
 
 
-def oracle(max_epochs: int = MAX_EPOCHS, table: str = "documents") -> str:
+def oracle(table: str = "documents") -> str:
     areas = "CASE shape" + "".join(f" WHEN {k} THEN CAST({_area(kn)!r} AS DOUBLE)" for k, kn in enumerate(SHAPES)) + " END"
-    return f"""WITH base AS (SELECT doc_id, source, {N_TOKENS_SQL} AS n_tokens, md5(CAST(doc_id AS VARCHAR)) AS k,
+    return f"""WITH base AS (SELECT doc_id, source, {N_TOKENS_SQL} AS n_tokens, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS k,
   coalesce(ascii(right(source, 1)), 0) % 3 AS shape FROM {table}),
 per AS (SELECT source, shape, sum(n_tokens) AS supply, sqrt(CAST(sum(n_tokens) AS DOUBLE)) * sqrt(sqrt(CAST(sum(n_tokens) AS DOUBLE))) * {areas} AS w FROM base GROUP BY source, shape),
 dem AS (SELECT source, supply, (SELECT CAST(sum(supply) AS DOUBLE) FROM per) * w / (SELECT sum(w) FROM per) AS demand FROM per WHERE supply > 0),
-placed AS (SELECT b.*, d.supply, d.demand, sum(n_tokens) OVER (PARTITION BY b.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS c FROM base b JOIN dem d ON b.source IS NOT DISTINCT FROM d.source),
-occ AS (SELECT *, CAST(e.e * supply + c AS DOUBLE) / demand AS x, CAST(e.e AS INTEGER) AS epoch FROM placed, (SELECT unnest(range({max_epochs})) AS e) e)
+placed AS (SELECT b.*, d.supply, d.demand, sum(n_tokens) OVER (PARTITION BY b.source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS c FROM base b JOIN dem d ON b.source IS NOT DISTINCT FROM d.source),
+reps AS (SELECT *, unnest(range(CAST(ceil(demand / supply) AS BIGINT))) AS e FROM placed),
+occ AS (SELECT *, CAST(e * supply + c AS DOUBLE) / demand AS x, CAST(e AS INTEGER) AS epoch FROM reps)
 SELECT doc_id, source, n_tokens, epoch, CAST(floor({_invert_sql()} * {SCALE}) AS BIGINT) AS position FROM occ WHERE x < 1"""
 
 

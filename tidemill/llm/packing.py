@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import cut, n_tokens, read
 
 CAPACITY = 2048
-BUCKETS = 64
+BUCKETS = 256
 
 
 def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -114,8 +114,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", toke
         owner,
     )
     grid = np.zeros((capacity + 1, BUCKETS), np.int64)  # bounded by the parameters
-    for r in pieces.where("n > 0").groupBy("n", "bucket").count().collect():
-        grid[r["n"], r["bucket"]] = r["count"]
+    counted = pieces.where("n > 0").groupBy("n", "bucket").count().toArrow()
+    grid[counted.column("n").to_numpy(), counted.column("bucket").to_numpy()] = counted.column("count").to_numpy()
     rows = plan(grid.sum(1), capacity)
     before = np.cumsum(grid, 1) - grid
     span = int(grid.sum()) + 1
