@@ -46,7 +46,7 @@ def brute(ts: bytes):
 
 
 def rows(streams):
-    cols = T.demux(pa.array(streams, pa.binary()), T._Tables())
+    cols = T.demux(pa.array(streams, pa.binary()))
     return pa.table(cols).to_pylist()
 
 
@@ -91,3 +91,57 @@ def test_odd_rows(odd):
     assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 6, None}
     assert next(r for r in got if r.doc_id == 0).status == "empty"
     assert T.demultiplexed(T.multiplexed(odd.limit(0))).count() == 0
+
+
+def foreign(pmt_pid, pointer, stamps, long_map=False):
+    """A stream by other means than mux: its own pids, pointer fields and maps that cross packets."""
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for x in data:
+            for k in range(7, -1, -1):
+                c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (c >> 31) ^ (x >> k & 1) else 0)
+        return c.to_bytes(4, "big")
+
+    def section(table, number, body):
+        head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc3\x00\x00" + body
+        return head + crc(head)
+
+    def packets(pid, data, counter):
+        data = bytes([pointer]) + b"\xff" * pointer + data
+        out = b""
+        for k in range(0, len(data), 184):
+            out += bytes([0x47, (0x40 if k == 0 else 0) | pid >> 8, pid & 255, 0x10 | (counter + k // 184) % 16]) + data[k : k + 184].ljust(184, b"\xff")
+        return out
+
+    filler = b"\x05\x3c" + b"x" * 60
+    loop = b"".join(bytes([t]) + (0xE000 | p).to_bytes(2, "big") + (0xF000 | len(d)).to_bytes(2, "big") + d for t, p, d in ((0x1B, 0x345, filler * (4 if long_map else 0)), (0x0F, 0x346, b"")))
+    pat = section(0, 1, (0).to_bytes(2, "big") + b"\xe0\x10" + (7).to_bytes(2, "big") + (0xE000 | pmt_pid).to_bytes(2, "big"))
+    other = section(2, 9, b"\xe1\x00\xf0\x00" + b"\x02\xe3\x99\xf0\x00")  # a program that the PAT does not name
+    out = packets(0, pat, 0) + packets(pmt_pid, other + section(2, 7, b"\xe3\x45\xf0\x00" + loop), 0)
+    for k, t in enumerate(stamps):
+        stamp = bytes([0x21 | (t >> 30 & 7) << 1, t >> 22 & 255, 1 | (t >> 15 & 127) << 1, t >> 7 & 255, 1 | (t & 127) << 1])
+        pes = b"\x00\x00\x01\xe0\x00\x00\x80\x80\x05" + stamp + b"unit%d" % k
+        out += bytes([0x47, 0x43, 0x45, 0x30 | k % 16, 183 - len(pes), 0]) + b"\xff" * (182 - len(pes)) + pes
+    return out
+
+
+def test_streams_of_other_makers():
+    near = (1 << 33) - 3000
+    for pid, pointer, long_map in ((0x20, 1, False), (0x1FF, 0, True), (0x20, 40, True)):
+        s = foreign(pid, pointer, [near, near + 1500, 0, 1500], long_map)
+        got = {r["pid"]: r for r in rows([s])}
+        assert set(got) == {0x345, 0x346} and got[0x345]["stream_type"] == 0x1B
+        assert got[0x345]["payload"] == b"unit0unit1unit2unit3" and got[0x345]["continuity_errors"] == 0
+        assert [u["pts"] for u in got[0x345]["units"]] == [near, near + 1500, near + 3000, near + 4500]
+        assert [u["dts"] for u in got[0x345]["units"]] == [near, near + 1500, near + 3000, near + 4500]
+    # a table that is named by no PAT is none
+    assert [r["status"] for r in rows([foreign(0x20, 0, [1])[188:]])] == ["no_program"]
+
+
+def test_rows_keep_their_own_values(spark, docs):
+    df = docs(["a" * 3000, "b" * 10, "b" * 10], ids=[5, 6, 6]).selectExpr("*", "'x' as pid", "3 as units", "7 as id", "'y' as payload", "1 as row")
+    got = [(r.doc_id, r.pid, bytes(r.payload)) for r in T.demultiplexed(T.multiplexed(df)).collect()]
+    assert sorted(g for g in got if g[0] == 6) == sorted([(6, T.VIDEO, b"b" * 10), (6, T.AUDIO, b"s0")] * 2)
+    named = spark.createDataFrame([("k1", "abc", "s")], "doc_id string, text string, source string")
+    assert {(r.doc_id, bytes(r.payload)) for r in T.demultiplexed(T.multiplexed(named)).collect()} == {("k1", b"abc"), ("k1", b"s")}

@@ -1,7 +1,8 @@
 """MPEG transport streams as columns: demultiplexing, and a multiplexer to make some.
 
 A stream column holds 188-byte packets. For each elementary stream that the
-program tables (PAT, PMT, CRC checked) list, the demultiplexer checks the
+program tables (PAT, and the PMT pids that it names; CRC checked; sections may
+cross packets) list, the demultiplexer checks the
 continuity counters, drops legal duplicates, reassembles the PES packets and
 stores payload, timestamps and random-access points. A whole Arrow batch of
 streams is parsed at once: packets are rows of a matrix, streams are segments
@@ -13,8 +14,10 @@ streams without usable program tables one of status ``no_program``. Bytes out
 of sync are skipped to the next 0x47 that repeats after 188 bytes or whose packet
 ends the stream; a packet cut short at the end is dropped; so are packets with the
 transport error flag or scrambling, and payload before the first PES header.
-A gap in the counters counts as an error and what is left is kept. Null ids and
-repeated rows are demultiplexed one by one. Only id and stream are read, so
+Time stamps go on over the wrap of their 33 bits. A pid that several programs
+list is given once. A gap in the counters counts as an error and what is left is kept. Null ids and
+repeated rows are demultiplexed one by one; very long streams are parsed whole,
+one at a time. Only id and stream are read, so
 other columns cannot clash.
 """
 
@@ -140,11 +143,13 @@ def mux(video: pa.Array, audio: pa.Array) -> list[np.ndarray]:
 def multiplexed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, stream: text as video and source as audio, with losses and repeats as transmission has.
 
-    Ids of 5 modulo 13 lose the fifth packet, ids of 3 modulo 17 repeat the third.
+    Ids of 5 modulo 13 lose the fifth packet, ids of 3 modulo 17 repeat the third
+    (hashes of ids that are no integers).
     A null text has a null stream.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("no"))
+    no = F.col(id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31))
+    src = docs.select(F.col(id_col).alias("id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(no, F.lit(0)).alias("no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -198,52 +203,96 @@ def packet_starts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sections(packets: list[bytes]) -> list[bytes]:
-    """Whole sections with a right CRC from the packets of one PSI pid."""
+    """Whole current sections with a right CRC from the packets of one PSI pid."""
     data, out = b"", []
+
+    def take(more: bytes) -> bytes:
+        more = data + more
+        while len(more) >= 3 and more[0] != 0xFF:
+            n = 3 + ((more[1] & 15) << 8 | more[2])
+            if len(more) < n:
+                break
+            if n > 8 and more[5] & 1 and crc32_mpeg(more[:n]) == 0:
+                out.append(more[:n])
+            more = more[n:]
+        return more
+
+    started = False
     for p in packets:
         body = p[5 + p[4] :] if p[3] & 0x20 else p[4:]
         if p[1] & 0x40 and body:
-            data = body[1 + body[0] :]
-        else:
-            data += body
-        while len(data) >= 3 and data[0] != 0xFF:
-            n = 3 + ((data[1] & 15) << 8 | data[2])
-            if len(data) < n:
-                break
-            if crc32_mpeg(data[:n]) == 0:
-                out.append(data[:n])
-            data = data[n:]
+            if started:
+                take(body[1 : 1 + body[0]])  # the pointer field counts the rest of the section before
+            started, data = True, b""
+            data = take(body[1 + body[0] :])
+        elif started:
+            data = take(body)
     return out
 
 
-class _Tables:
-    """pid -> stream type of each stream; rows of equal tables are parsed once."""
-
-    def __init__(self) -> None:
-        self.known: dict[tuple[bytes, ...], dict[int, int]] = {}
-
-    def of(self, psi: dict[int, list[bytes]]) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for s in self.cached(0, psi.get(0, [])):
-            for i in range(8, len(s) - 4, 4):
-                if s[0] == 0 and (s[i] << 8 | s[i + 1]):
-                    p = (s[i + 2] & 31) << 8 | s[i + 3]
-                    for t in self.cached(p, psi.get(p, [])):
-                        if t[0] != 2:
-                            continue
-                        j = 12 + ((t[10] & 15) << 8 | t[11])
-                        while j + 5 <= len(t) - 4:
-                            out[(t[j + 1] & 31) << 8 | t[j + 2]] = t[j]
-                            j += 5 + ((t[j + 3] & 15) << 8 | t[j + 4])
-        return out
-
-    def cached(self, pid: int, packets: list[bytes]) -> list[bytes]:
-        key = tuple(packets)
-        if key not in self.known:
-            if len(self.known) > 4096:
-                self.known.clear()
-            self.known[key] = _sections(packets)
-        return self.known[key]
+def programs(packets: list[bytes]) -> list[tuple[int, int]]:
+    """(program, pid of its map) of the program association table."""
+    return [(s[i] << 8 | s[i + 1], (s[i + 2] & 31) << 8 | s[i + 3]) for s in _sections(packets) if s[0] == 0 for i in range(8, len(s) - 7, 4) if s[i] << 8 | s[i + 1]]
+
+
+def program_map(packets: list[bytes]) -> list[tuple[int, int, int]]:
+    """(program, pid, stream type) of program map sections."""
+    out = []
+    for t in _sections(packets):
+        if t[0] != 2 or len(t) < 16:
+            continue
+        j = 12 + ((t[10] & 15) << 8 | t[11])
+        while j + 5 <= len(t) - 4:
+            out.append((t[3] << 8 | t[4], (t[j + 1] & 31) << 8 | t[j + 2], t[j]))
+            j += 5 + ((t[j + 3] & 15) << 8 | t[j + 4])
+    return out
+
+
+def _kinds(m: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """(group, kind of each, packets of each kind): packets `at`, sorted by group; groups of equal packets are one kind."""
+    names, first, many = np.unique(group, return_index=True, return_counts=True)
+    kind = np.zeros(len(names), np.int64)
+    packets: list[list[bytes]] = []
+    for size in np.unique(many):
+        mine = np.flatnonzero(many == size)
+        rows = np.ascontiguousarray(m[at[first[mine][:, None] + np.arange(size)]].reshape(len(mine), -1))
+        seen, one, inv = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        kind[mine] = len(packets) + inv
+        packets += [[rows[i, k : k + PACKET].tobytes() for k in range(0, rows.shape[1], PACKET)] for i in one]
+    return names, kind, packets
+
+
+def elementary(m: np.ndarray, row: np.ndarray, pid: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row << 13 | pid, stream type), sorted, of the streams that the tables of each row list.
+
+    The association table says on which pids the maps are; tables that are equal
+    in many rows are parsed once.
+    """
+    none = np.zeros(0, np.int64)
+    pat = np.flatnonzero(fine & (pid == 0))
+    rows, kind, packets = _kinds(m, pat, row[pat]) if len(pat) else (none, none, [])
+    want, program = [none], [none]
+    for k, p in enumerate(packets):
+        found = np.array(sorted(set(programs(p))), np.int64).reshape(-1, 2)
+        mine = rows[kind == k]
+        want.append((mine[:, None] << 13 | found[:, 1]).ravel())
+        program.append(np.tile(found[:, 0], len(mine)))
+    want, program = np.concatenate(want), np.concatenate(program)
+    listed = np.unique(want << 16 | program)
+    code = row << 13 | pid
+    pmt = np.flatnonzero(fine & np.isin(code, want))
+    pmt = pmt[np.argsort(code[pmt], kind="stable")]
+    groups, kind, packets = _kinds(m, pmt, code[pmt]) if len(pmt) else (none, none, [])
+    keys, types = [none], [none]
+    for k, p in enumerate(packets):
+        mine = groups[kind == k]
+        for number, stream, kind_of in program_map(p):
+            ok = mine[np.isin(mine << 16 | number, listed)]
+            keys.append(ok >> 13 << 13 | stream)
+            types.append(np.full(len(ok), kind_of))
+    keys, types = np.concatenate(keys), np.concatenate(types)
+    keys, first = np.unique(keys, return_index=True)
+    return keys, types[first]
 
 
 UNITS = pa.struct([("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("packet", pa.int32()), ("bytes", pa.int32())])
@@ -254,7 +303,18 @@ def _time(f: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((x[:, 0] >> 1) & 7) << 30 | x[:, 1] << 22 | (x[:, 2] >> 1) << 15 | x[:, 3] << 7 | x[:, 4] >> 1
 
 
-def demux(col: pa.Array, tables: _Tables) -> dict[str, pa.Array]:
+def unwrapped(t: np.ndarray, stream: np.ndarray) -> np.ndarray:
+    """Time stamps of 33 bits, stream after stream, carried on over their wrap: each is taken within 2^32 of the one before."""
+    if not len(t):
+        return t
+    new = np.r_[True, stream[1:] != stream[:-1]]
+    step = np.where(new, 0, (np.diff(t, prepend=t[:1]) + (1 << 32)) % (1 << 33) - (1 << 32))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+    run = np.cumsum(step)
+    return t[first] + run - run[first]
+
+
+def demux(col: pa.Array) -> dict[str, pa.Array]:
     """Columns of the result for a column of streams; ``row`` is the stream's place in it."""
     buf, off = flat(col)
     at, row = packet_starts(buf, off)
@@ -265,17 +325,7 @@ def demux(col: pa.Array, tables: _Tables) -> dict[str, pa.Array]:
     af = np.where(afc & 2, m[:, 4].astype(np.int64) + 1, 0)
     flags = np.where(af > 1, m[:, 5], 0)
     fine = ((m[:, 1] & 0x80) == 0) & ((m[:, 3] & 0xC0) == 0) & (afc & 1 == 1) & (af < 184)
-    # program tables: the pids that a PAT could point to are few, so take those not in PES form
-    psi_like = fine & ((pid == 0) | (pid == PMT) | ((m[:, 1] & 0x40 != 0) & (m[np.arange(len(m)), np.minimum(4 + af, 187)] == 0) & (m[np.arange(len(m)), np.minimum(5 + af, 187)] == 2)))
-    psi_pids = np.unique(row[psi_like] << 13 | pid[psi_like])
-    psi = fine & np.isin(row << 13 | pid, psi_pids)
-    groups: dict[int, dict[int, list[bytes]]] = {}
-    for i in np.flatnonzero(psi):
-        groups.setdefault(int(row[i]), {}).setdefault(int(pid[i]), []).append(m[i].tobytes())
-    kinds = {r: tables.of(g) for r, g in groups.items()}
-    key_of = {(r << 13) | p: t for r, k in kinds.items() for p, t in k.items()}
-    keys = np.array(sorted(key_of), np.int64)  # (row, pid) of each elementary stream
-    types = np.array([key_of[k] for k in keys.tolist()], np.int64)
+    keys, types = elementary(m, row, pid, fine)  # (row, pid) of each elementary stream
     n = len(keys)
     stream = np.searchsorted(keys, row << 13 | pid)
     mine = np.flatnonzero(fine & (keys[np.minimum(stream, n - 1)] == (row << 13 | pid))) if n else np.zeros(0, np.int64)
@@ -313,6 +363,9 @@ def demux(col: pa.Array, tables: _Tables) -> dict[str, pa.Array]:
     has_pts, has_dts = (f[begin + 7] & 0x80) != 0, (f[begin + 7] & 0xC0) == 0xC0
     pts, dts = _time(padded, begin + 9), _time(padded, begin + 14)
     us = s[lead]
+    ahead = (pts - dts) % (1 << 33)
+    pts[has_pts] = unwrapped(pts[has_pts], us[has_pts])
+    dts = pts - ahead
     payload = f[_ranges(body, end - body)]
     per = np.bincount(us, minlength=n)
     unit_off = np.r_[0, np.cumsum(per)]
@@ -348,9 +401,8 @@ def demultiplexed(streams: DataFrame, id_col: str = "doc_id", stream_col: str =
     kind = streams.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Tables()
         for b in slices(batches, "stream", 2 << 20):
-            cols = demux(b.column("stream"), tables)
+            cols = demux(b.column("stream"))
             row = cols.pop("row")
             yield pa.RecordBatch.from_arrays([b.column("id").take(row), *cols.values()], names=[id_col, *cols])
 
