@@ -40,7 +40,7 @@ def slot(gram):
     """Place of a gram in the hashed space, in plain integers."""
     x, k, m = int.from_bytes(gram, "big"), len(gram), 0xFFFFFFFF
     h = ((x + k * 0x9E3779B1) * 0x85EBCA6B & m) ^ ((x >> 15) * 0x27D4EB2F & m)
-    return (h * 0x9E3779B1 & m) >> 18
+    return (h * 0x9E3779B1 & m) >> 17
 
 
 def plain_ridge(train, lang, test, landmarks):

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import read
 from tidemill.llm.kernels import flat, slices
 
-MAX_N, SLOTS, LANDMARKS, MAX_TRAIN, RIDGE = 4, 1 << 14, 128, 2000, 1e-3
+MAX_N, SLOTS, LANDMARKS, MAX_TRAIN, RIDGE = 4, 1 << 15, 128, 2000, 1e-3
 ROWS = 256  # texts per matrix product
-_SHIFT = np.uint32(32 - 14)
+_SHIFT = np.uint32(32 - 15)
 
 
 @dataclass
