@@ -77,6 +77,33 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
             at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """Runs of whole groups of about `rows` rows from batches sorted by key.
+
+    A task so holds its largest group and one run, not its whole partition.
+    """
+    have: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        have.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(have).combine_chunks()
+        k = t.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut:
+            yield t.slice(0, cut)
+            have, n = t.slice(cut).to_batches(), n - cut
+        else:
+            have = t.to_batches()
+            rows = max(rows, 2 * n)  # a group larger than a run: look for its end less often
+    if have:
+        yield pa.Table.from_batches(have).combine_chunks()
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word of the rows, in order.
 
