@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm import minhash, mixing, packing, passages, toxicity
-from tidemill.llm.common import cut, read, release
+from tidemill.llm.common import Numbers, cut, fresh, read, release
 
 WORK = "pipeline"
 ID = "doc_id"
@@ -44,18 +44,19 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(WORK)
-    long, key = F.col(ID).cast("long"), F.col("__tm_u")
+    numbers = Numbers(docs, ID, WORK)
+    u, rn = fresh(docs, "__tm_u"), fresh(docs, "__tm_rn")
     again = cut(docs.groupBy(F.col(ID).alias("__tm_id")).count().where("count > 1 and __tm_id is not null").select("__tm_id"), WORK)
-    rows = docs.withColumn("__tm_u", long)
+    rows = numbers.number(docs, ID, u)
     if not again.isEmpty():
         # of a repeated id the least text keeps it as its key, each other one gets a key above all ids
         once = rows.join(again, rows[ID] == again["__tm_id"], "left_anti")
-        few = docs.join(again, docs[ID] == again["__tm_id"], "left_semi").withColumn("__tm_rn", F.row_number().over(Window.partitionBy(ID, "text").orderBy(ID))).where("__tm_rn = 1")
+        few = rows.join(again, rows[ID] == again["__tm_id"], "left_semi").withColumn(rn, F.row_number().over(Window.partitionBy(ID, "text").orderBy(ID))).where(F.col(rn) == 1)
         least = F.col("text") == F.min("text").over(Window.partitionBy(ID))
-        few = few.withColumn("__tm_u", F.when(least, long).otherwise(F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(ID, "text"), 3)))
-        rows = once.unionByName(few.drop("__tm_rn"))
-    gone = minhash.near_duplicates(rows, id_col="__tm_u", owner=WORK).where("id <> root").select(F.col("id").alias("__tm_g"))
-    return _columns(rows.join(gone, key == F.col("__tm_g"), "left_anti"), docs)
+        few = few.withColumn(u, F.when(least, F.col(u)).otherwise(F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(ID, "text"), 3)))
+        rows = once.unionByName(few.drop(rn))
+    gone = minhash.near_duplicates(rows, id_col=u, owner=WORK).where("id <> root").select(F.col("id").alias("__tm_g"))
+    return _columns(rows.join(gone, rows[u] == gone["__tm_g"], "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,6 +88,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "pipeline-stages")
+    before = None
+    for name, stage in STAGES[:-1]:
+        owner = f"pipeline-{name}"
+        release(owner)
+        docs = cut(stage(spark, docs, sf_dir), owner)
+        if before:
+            release(before)  # the stage after has been written
+        before = owner
     return STAGES[-1][1](spark, docs, sf_dir)

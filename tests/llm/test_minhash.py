@@ -91,3 +91,10 @@ def test_cases(odd, docs):
     assert M.groups(odd.limit(0)).count() == 0
     short = {r.doc_id: r.keep for r in M.groups(docs(["one", "one", "two", "!!", "!!", ""])).collect()}
     assert short == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_ids_of_other_types(spark):
+    base = words(100, 3)
+    rows = [("k9", " ".join(base)), ("k2", " ".join(base)), ("k5", " ".join(words(100, 4))), (None, " ".join(base))]
+    got = {r.doc_id: (r.group_id, r.keep) for r in M.groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"k9": ("k2", False), "k2": ("k2", True), "k5": ("k5", True), None: (None, True)}

@@ -124,3 +124,18 @@ def test_near_dedup_judges_rows_of_one_id_by_their_texts(spark, docs):
     kept = sorted(((x.doc_id, x.text) for x in P.near_dedup(spark, df, "").collect()), key=str)
     # of a, held by 7 and 8, one row stays; b's copy goes; c stays for 8, and where the id is null
     assert [t for _, t in kept].count(a) == 1 and sorted(map(str, kept)) == sorted(map(str, [(7, None), (7, b), (8, c), (None, c), *[x for x in kept if x[1] == a]]))
+
+
+def test_ids_of_other_types(spark, corpus, tmp_path):
+    folder, kind, *_ = corpus
+    name = F.concat(F.lit("id"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("doc_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.select(name, "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").select(name, "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    named = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage in ("near_dedup", "substring_dedup"):
+        one, two = (sorted(r.text or "" for r in dict(P.STAGES)[stage](spark, d, f).collect()) for d, f in ((docs, folder), (named, str(tmp_path))))
+        assert one == two
+    toxic = {f"id{i:05d}" for i, k in kind.items() if k == "toxic"}
+    got = {r.doc_id for r in P.run(spark, str(tmp_path)).collect()}
+    assert got and not got & toxic

@@ -67,6 +67,13 @@ def _at_exit() -> None:
 
 atexit.register(_at_exit)
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that df has no column of."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 class Numbers:
     """Long numbers for the ids of df, in the order of the ids, whatever their type.
 
@@ -87,7 +94,8 @@ class Numbers:
         """df with the number of its id as a further column; null for a null id."""
         if self.table is None:
             return df.withColumn(name, F.col(f"`{id_col}`").cast("long"))
-        return df.join(self.table.withColumnsRenamed({"__tm_no": name}), df[id_col] == self.table["__tm_id"], "left").drop("__tm_id")
+        table = self.table.toDF("__tm_id", name)
+        return df.join(table, df[id_col] == table["__tm_id"], "left").select(*[df[f"`{c}`"] for c in df.columns], table[name])
 
     def name(self, df: DataFrame, number: str, id_col: str, plain: bool = False) -> DataFrame:
         """df with ids in place of the column of numbers; integral ones in their own type, or, plain, as long."""

@@ -10,14 +10,16 @@ the similarity is estimated as (p - C) / (1 - C).
 Documents of equal minima are first folded into one. Inside a band bucket every
 pair that is not yet connected is compared, so large buckets cost no more than
 they must and no candidate is capped; a bucket sends on one edge per connected
-member. Connected components of all edges (alternating large-star and
+member. Buckets stream out of sorted partitions, so a task holds its largest
+bucket and one batch. Connected components of all edges (alternating large-star and
 small-star rounds, each written to the shared folder) are the groups, of which
 the least id stays.
 
 Cases: null and empty texts, and texts without a word, are in no group and
 stay; texts shorter than a shingle are compared as a whole; rows of one id are
 one document, whose minima are those of all its rows; rows of null id are each
-kept and in no group; an empty table gives an empty result. Only id and text
+kept and in no group; very long texts are treated whole; an empty table gives an
+empty result. Ids may be of any type that can be ordered. Only id and text
 are read, so other columns cannot clash.
 """
 
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, read
-from tidemill.llm.kernels import U64, flat, mix, shingles, slices, word_hashes
+from tidemill.llm.common import Numbers, cut, read
+from tidemill.llm.kernels import U64, flat, mix, shingles, slices, whole_groups, word_hashes
 
 HASHES, BANDS, BITS, WIDTH = 96, 32, 4, 3
 THRESHOLD = 0.5  # copies with about a tenth of their words changed
@@ -144,9 +146,9 @@ def components(edges: DataFrame, owner: str = "query") -> DataFrame:
         state = now
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def signatures(texts: DataFrame) -> DataFrame:
     """(id, whole, keys, sig) of each document with words: hash of all minima, band keys, packed bits."""
-    src = docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")
+    src = texts.where("id is not null and text is not null").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -164,22 +166,20 @@ def signatures(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return src.mapInArrow(run, "id long, whole long, keys array<long>, sig binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", owner: str = "query") -> DataFrame:
-    """(id, root) of every document that is in a group of two or more."""
-    sigs = cut(signatures(docs, id_col), owner)
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", owner: str = "query", numbers: Numbers | None = None) -> DataFrame:
+    """(id, root) of every document that is in a group of two or more, by their numbers."""
+    numbers = numbers or Numbers(docs, id_col, owner)
+    sigs = cut(signatures(numbers.number(docs.select(F.col(f"`{id_col}`"), "text"), id_col, "id")), owner)
     folded = sigs.groupBy("whole").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.min_by("sig", "id").alias("sig"))
-    banded = folded.select("id", "sig", F.explode("keys").alias("key")).repartition("key")
+    banded = folded.select("id", "sig", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        buf, _ = flat(t.column("sig").chunk(0))
-        a, b = bucket_edges(t.column("key").to_numpy(), t.column("id").to_numpy(), buf.view(U64).reshape(-1, _WORDS), threshold)
-        if len(a):
-            ab = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+        for t in whole_groups(batches, "key"):
+            buf, _ = flat(t.column("sig"))
+            a, b = bucket_edges(t.column("key").to_numpy(), t.column("id").to_numpy(), buf.view(U64).reshape(-1, _WORDS), threshold)
+            if len(a):
+                ab = np.unique(np.stack([a, b]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
     near = banded.mapInArrow(run, "a long, b long")
     first = F.min("id").over(Window.partitionBy("whole"))
@@ -189,11 +189,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", owner: str = "query") -> DataFrame:
     """id, group_id (least id of its group), keep: one row per row of docs."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = near_duplicates(docs, threshold, id_col, owner)
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    out = ids.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("root").alias("group_id"), (F.col("id").isNull() | (F.col("root") == F.col("id"))).alias("keep"))
+    numbers = Numbers(docs, id_col, owner)
+    found = near_duplicates(docs, threshold, id_col, owner, numbers)
+    ids = numbers.number(docs.select(F.col(f"`{id_col}`")), id_col, "id")
+    out = ids.join(found, "id", "left").select(F.col(f"`{id_col}`"), "id", F.coalesce("root", "id").alias("root"))
+    out = out.withColumn("keep", F.col("id").isNull() | (F.col("root") == F.col("id")))
+    return numbers.name(out, "root", "group_id", plain=True).select(id_col, "group_id", "keep")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

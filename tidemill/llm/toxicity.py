@@ -291,6 +291,7 @@ def score(model: Model, text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id") -> Model:
     """The model of a bounded sample of labelled documents, balanced in each language."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("__tm_id")).agg((F.max("toxic") > 0).alias("__tm_toxic")).where("__tm_id is not null")
+    docs = docs.select(id_col, "lang", "text")
     rows = docs.join(known, docs[id_col] == known["__tm_id"]).where(docs["lang"].isNotNull() & docs["text"].isNotNull())
     ids = rows.select("__tm_id", docs["lang"].cast("string").alias("__tm_lang"), "__tm_toxic").distinct().withColumn("__tm_h", F.md5(F.col("__tm_id").cast("string")))
     nth = F.row_number().over(Window.partitionBy("__tm_toxic", "__tm_lang").orderBy("__tm_h", "__tm_id"))
