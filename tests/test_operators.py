@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def test_names(spark):
     assert one(spark, paths.content_range_start, "bytes 65536-131071/200000") == 65536 and one(spark, paths.content_range_start, "items 1-2") is None
     assert one(spark, paths.bytes_human, 1536, "long") == "1.50 KiB" and one(spark, paths.thousands, 1234567, "long") == "1,234,567"
     assert one(spark, paths.unix_mtime, 0, "long") is None and one(spark, paths.filetime, 116444736000000000 + 10_000_000, "long") == datetime.datetime(1970, 1, 1, 0, 0, 1)
-    assert one(spark, dedup.is_scratch, ".photo.jpg.abc-link-12") and not one(spark, dedup.is_scratch, "photo-link-12")
+    assert one(spark, dedup.is_scratch, ".photo.jpg.tidemill-link-12") and not one(spark, dedup.is_scratch, ".photo.jpg.abc-link-12") and not one(spark, dedup.is_scratch, "photo-link-12")
     assert [one(spark, paths.charset, n) for n in ("abc", "déjà", "日本", "да")] == ["ascii", "latin", "cjk", "cyrillic"]
     assert one(spark, paths.scrub, "can't open /home/me/x.txt now") == "can't open <path> now"
 
@@ -222,3 +223,43 @@ def test_folds(spark):
 def test_manifests(spark):
     d = spark.createDataFrame([("A" * 64 + "  x.zip\nbad line\n" + "b" * 64 + " *dir/y.zip",)], "m string")
     assert [(r.name, r.sha256) for r in discovery.manifest(d, "m").collect()] == [("x.zip", "a" * 64), ("dir/y.zip", "b" * 64)]
+
+
+def test_pairs_of_crowded_bands_are_all_found(spark):
+    """Any number of equal or near signatures: every pair within the distance, each once."""
+    import itertools
+
+    r = random.Random(5)
+    sigs = [r.getrandbits(64) for _ in range(60)] + [7] * 12 + [7 ^ (1 << k) for k in range(12)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in sigs]
+    df = spark.createDataFrame([(f"s{i:03d}", x) for i, x in enumerate(signed)] + [(None, 7), ("z", None)], "id string, sig long")
+    for d in (15, 2):
+        want = {(f"s{i:03d}", f"s{j:03d}", (sigs[i] ^ sigs[j]).bit_count()) for i, j in itertools.combinations(range(len(sigs)), 2) if (sigs[i] ^ sigs[j]).bit_count() <= d}
+        got = [tuple(x) for x in similar.banded_pairs(df, d).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_of_many_signatures(spark):
+    n = 20000
+    x = np.random.default_rng(3).integers(0, 1 << 63, n).astype(np.int64)
+    x[-50:] = x[:50] ^ 5
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "sig": x}))
+    got = {(r.a, r.b): r.distance for r in similar.banded_pairs(df, 15).collect()}
+    u = x.view(np.uint64)
+    want = {}
+    for at in range(0, n, 500):
+        d = np.bitwise_count(u[at : at + 500, None] ^ u[None, :])
+        i, j = np.nonzero(d <= 15)
+        want |= {(int(p + at), int(q)): int(d[p, q]) for p, q in zip(i, j) if p + at < q}
+    assert got == want and len(want) >= 50
+
+
+def test_gates_spare_the_hashing(spark):
+    rows = [(i, f"/f{i:03d}", bytearray(b"x" * (10 + i)), 10 + i, "d") for i in range(20)]
+    rows += [(100 + k, f"/g{k}", bytearray(b"a" * 400 + bytes([k // 2])), 401, "d") for k in range(4)] + [(200 + k, f"/h{k}", bytearray(bytes([k]) * 50 + b"m" * 400), 450, "d") for k in range(3)]
+    df = spark.createDataFrame(rows, "entry_idx long, path string, content binary, size long, dev string")
+    assert {r.path for r in dedup.gated(df.where("entry_idx < 100"), 16).collect()} == set()
+    assert {r.path for r in dedup.gated(df, 16).collect()} == {"/g0", "/g1", "/g2", "/g3"}
+    assert dedup.gated(df, 16, limit=0).count() == len(rows)
+    one, all_ = (sorted(map(tuple, d.collect())) for d in (dedup.groups(df, 16), dedup.groups(df, 1 << 20)))
+    assert one == all_ and sorted((r[2], r[4]) for r in one) == [(2, "/g0"), (2, "/g2")]

@@ -132,6 +132,15 @@ def test_iso(reg, tmp_path):
     assert iso.decode_name("né;1".encode("utf-16-be"), True) == "né"
 
 
+def test_iso_directories_that_are_not_listed(reg, tmp_path, monkeypatch):
+    (tmp_path / "d.iso").write_bytes(image({"A.TXT": b"abc"}))
+    monkeypatch.setattr(iso, "MAX_DIR", 100)
+    (e,) = iso.scan(f"{tmp_path}/d.iso")
+    assert e.is_dir and e.truncated == "above 100 bytes"
+    (row,) = archives.entries(f"{tmp_path}/d.iso", False)
+    assert row[-2] == "truncated: above 100 bytes"
+
+
 def test_walk_and_extract(reg, tree):
     tmp, body = tree
     os.symlink("README.md", tmp / "tree" / "link")

@@ -205,10 +205,11 @@ def line_cdc_chunks(files: DataFrame, k: int = 8) -> DataFrame:
     return g.select("entry_idx", "pos", F.octet_length("chunk").alias("length"), F.sha2("chunk", 256).alias("hash"))
 
 
-def solid_blocks(entries: DataFrame, max_bytes: int = 128 << 20, max_entries: int = 8192) -> DataFrame:
-    """index, size, stored, block: a block closes when the method changes, or at its bytes or entries.
+def solid_blocks(entries: DataFrame, max_bytes: int = 128 << 20, max_entries: int = 8192, archive: Column | None = None) -> DataFrame:
+    """archive, index, size, stored, block: a block closes when the method changes, or at its bytes or entries.
 
-    A fold with reset over the order of one archive's entries.
+    A fold with reset over the order of one archive's entries; archives side by
+    side. Without a column of archives all rows are one.
     """
 
     def fold(t: pa.Table) -> pa.Table:
@@ -223,10 +224,10 @@ def solid_blocks(entries: DataFrame, max_bytes: int = 128 << 20, max_entries: in
             to = min(full, at + max_entries, int(change[np.searchsorted(change, at, side="right")]))
             block[at:to] = k
             at, base, k = to, int(end[to - 1]), k + 1
-        return pa.table({"index": t.column("index"), "size": t.column("size"), "stored": t.column("stored"), "block": pa.array(block)})
+        return t.select(["archive", "index", "size", "stored"]).append_column("block", pa.array(block))
 
-    slim = entries.select(F.col("index").cast("long").alias("index"), F.col("size").cast("long").alias("size"), "stored", F.lit(0).alias("archive"))
-    return slim.groupBy("archive").applyInArrow(fold, "index long, size long, stored boolean, block int")
+    slim = entries.select(F.col("index").cast("long").alias("index"), F.col("size").cast("long").alias("size"), "stored", (F.lit(0) if archive is None else archive).cast("long").alias("archive"))
+    return slim.groupBy("archive").applyInArrow(fold, "archive long, index long, size long, stored boolean, block int")
 
 
 def sized(content: Column, size: Column) -> Column:

@@ -1,8 +1,11 @@
 """Exact duplicates: size, partial and full identity of content.
 
 Content is hashed inside the scan and never enters a shuffle; what is grouped
-are slim (path, size, hash) rows. The size gate and the partial gate exist as
-operators of their own: they tell which files need their content read at all.
+are slim (path, size, hash) rows. Groups are found behind two gates: only files
+whose size another file has, and of large ones only those whose head and tail
+another one of that size has, are hashed whole. What passes a gate is named by
+sizes or by (size, head and tail), so content never meets a join but a broadcast
+of few rows; where these are more than GATE_ROWS, all is hashed.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_GROUPS = 50
+WINDOW = 65536
+GATE_ROWS = 1_000_000
 
 
 def scan_metrics(files: DataFrame) -> DataFrame:
@@ -38,14 +43,30 @@ def partial_gate(files: DataFrame, window: int = 65536) -> DataFrame:
     return both.where("pk is null or n_part > 1").select("path", "size")
 
 
+def gated(files: DataFrame, window: int = WINDOW, limit: int = GATE_ROWS) -> DataFrame:
+    """Rows of files that can have a duplicate: those that pass the size gate and the partial gate."""
+    files = files.where("size >= 1")
+    sizes = files.groupBy("size").count().where("count > 1").select("size")
+    if sizes.limit(limit + 1).count() > limit:
+        return files
+    files = files.join(F.broadcast(sizes), "size", "left_semi")
+    if files.where(F.col("size") >= 4 * window).isEmpty():
+        return files
+    keyed = files.withColumn("__pk", F.coalesce(partial_key(window), F.lit("")))
+    parts = keyed.where("__pk <> ''").groupBy("size", "__pk").count().where("count = 1").select("size", "__pk")
+    if parts.limit(limit + 1).count() > limit:
+        return files
+    return keyed.join(F.broadcast(parts), ["size", "__pk"], "left_anti").drop("__pk")
+
+
 def hashed(files: DataFrame) -> DataFrame:
     return files.where("size >= 1").select("entry_idx", "path", "size", "dev", F.sha2("content", 256).alias("hash"))
 
 
-def groups(files: DataFrame) -> DataFrame:
-    """size, hash, n_files, reclaimable, first_path, paths of each duplicate group."""
-    g = hashed(files).groupBy("size", "hash").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths")).where("n_files > 1")
-    return g.select("size", "hash", "n_files", ((F.col("n_files") - 1) * F.col("size")).alias("reclaimable"), F.col("paths")[0].alias("first_path"), "paths")
+def groups(files: DataFrame, window: int = WINDOW) -> DataFrame:
+    """size, hash, n_files, reclaimable, first_path of each duplicate group; its members are rows of ``members``."""
+    g = hashed(gated(files, window)).groupBy("size", "hash").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path")).where("n_files > 1")
+    return g.select("size", "hash", "n_files", ((F.col("n_files") - 1) * F.col("size")).alias("reclaimable"), "first_path")
 
 
 def ranked(frame: DataFrame) -> DataFrame:
@@ -93,5 +114,5 @@ def collapse_roots(roots: DataFrame) -> DataFrame:
 
 
 def is_scratch(name):
-    """Names of interrupted replacements: hidden, with a link or old suffix and a number."""
-    return name.rlike("^\\.(.*\\.)?[a-z]+-(link|old)-[0-9]+$")
+    """Names that interrupted replacements of this engine leave: hidden, with its mark and a number."""
+    return name.rlike("^\\.(.*\\.)?tidemill-(link|old)-[0-9]+$")

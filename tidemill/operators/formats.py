@@ -13,7 +13,8 @@ TARGETS = (
     (".iso", "iso", "none", False),
     (".pack", "pack", "none", True),
     (".tar", "tar", "none", True),
-    *((s, "tar", c, True) for s, c in ((".tar.gz", "gzip"), (".tgz", "gzip"), (".tar.xz", "xz"), (".txz", "xz"), (".tar.zst", "zstd"), (".tzst", "zstd"), (".tar.bz2", "bzip2"), (".tbz2", "bzip2"), (".tar.lz4", "lz4"), (".tar.br", "brotli"))),
+    *((s, "tar", c, True) for s, c in ((".tar.gz", "gzip"), (".tgz", "gzip"), (".tar.xz", "xz"), (".txz", "xz"), (".tar.zst", "zstd"), (".tzst", "zstd"), (".tar.bz2", "bzip2"), (".tbz2", "bzip2"), (".tar.lz4", "lz4"))),
+    (".tar.br", "tar", "brotli", False),
     *((s, "raw", c, False) for s, c in ((".gz", "gzip"), (".xz", "xz"), (".zst", "zstd"), (".bz2", "bzip2"), (".lz4", "lz4"), (".br", "brotli"))),
 )
 

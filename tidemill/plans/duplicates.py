@@ -52,7 +52,7 @@ def partial_gate(spark, sf_dir):
 
 @query(GROUPS + " SELECT * FROM g")
 def dup_groups(spark, sf_dir):
-    return dedup.ranked(dedup.groups(files(spark, sf_dir)).drop("paths"))
+    return dedup.ranked(dedup.groups(files(spark, sf_dir)))
 
 
 @query(MEMBERS + " SELECT size, hash, path, n_files, row_number() OVER (PARTITION BY size, hash ORDER BY path) AS rn FROM members WHERE n_files > 1")
@@ -75,7 +75,7 @@ def bytes_hashed(spark, sf_dir):
 
 @query(GROUPS + " SELECT * FROM g ORDER BY reclaimable DESC, first_path LIMIT 50")
 def top_groups(spark, sf_dir):
-    return dedup.ranked(dedup.groups(files(spark, sf_dir)).drop("paths")).limit(dedup.TOP_GROUPS)
+    return dedup.ranked(dedup.groups(files(spark, sf_dir))).limit(dedup.TOP_GROUPS)
 
 
 @query(FILES + """, f AS (SELECT *, CASE WHEN entry_idx % 3 <> 0 THEN entry_idx % 2 END AS ino FROM files WHERE size >= 1)

@@ -19,7 +19,7 @@ LINES = FILES + """, raw AS (SELECT entry_idx, string_split(text, chr(10)) AS l
 lines AS (SELECT entry_idx, CAST(pos AS INTEGER) AS pos, CASE WHEN pos < len(l) - 1 THEN line || chr(10) ELSE line END AS chunk FROM ex),
 chunks AS (SELECT entry_idx, pos, CAST(strlen(chunk) AS INTEGER) AS length, sha256(chunk) AS hash, chunk FROM lines WHERE chunk <> '')"""
 FIRST = LINES + """, fs AS (SELECT hash, CAST(max(length) AS BIGINT) AS length, min((entry_idx, pos)) AS place FROM chunks GROUP BY hash),
-ids AS (SELECT hash, length, row_number() OVER (ORDER BY place) - 1 AS chunk_id, CAST(sum(length) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS start FROM fs)"""
+ids AS (SELECT hash, length, place[1] AS entry_idx, row_number() OVER (ORDER BY place) - 1 AS chunk_id, CAST(sum(length) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS start FROM fs)"""
 
 
 def _lines(spark, sf_dir):
@@ -63,11 +63,15 @@ def archive_roundtrip(spark, sf_dir):
     return e.join(back, "path", "left").select("path", F.coalesce(F.col("again") == F.col("content"), F.lit(False)).alias("same"))
 
 
-@query()
+@query("WITH RECURSIVE" + FILES[4:] + """, e AS (SELECT entry_idx // 256 AS archive, entry_idx AS index, size, entry_idx % 50 > 40 AS stored, row_number() OVER (PARTITION BY entry_idx // 256 ORDER BY entry_idx) AS rn FROM files),
+f AS (SELECT archive, index, size, stored, rn, CAST(0 AS INTEGER) AS block, CAST(size AS HUGEINT) AS bytes, 1 AS n FROM e WHERE rn = 1
+  UNION ALL SELECT e.archive, e.index, e.size, e.stored, e.rn, CASE WHEN c.new THEN f.block + 1 ELSE f.block END, CASE WHEN c.new THEN CAST(e.size AS HUGEINT) ELSE f.bytes + e.size END, CASE WHEN c.new THEN 1 ELSE f.n + 1 END
+  FROM f JOIN e ON e.archive = f.archive AND e.rn = f.rn + 1, LATERAL (SELECT e.stored <> f.stored OR f.bytes >= 65536 OR f.n >= 40 AS new) c)
+SELECT archive, index, size, stored, block FROM f""")
 def solid_blocks(spark, sf_dir):
-    """Blocks of an archive's entries: at most 64 KiB or 40 entries, one method each."""
+    """Blocks of archives of 256 entries: at most 40 entries and what reaches 64 KiB, one method each."""
     f = files(spark, sf_dir)
-    return chunks.solid_blocks(f.select(F.col("entry_idx").alias("index"), "size", (F.col("entry_idx") % 50 > 40).alias("stored")), 65536, 40)
+    return chunks.solid_blocks(f.select(F.col("entry_idx").alias("index"), "size", (F.col("entry_idx") % 50 > 40).alias("stored")), 65536, 40, F.floor(F.col("index") / 256))
 
 
 _EST = """ SELECT (SELECT count(DISTINCT entry_idx) FROM chunks) AS files, count(*) AS chunks, count(DISTINCT hash) AS distinct_chunks, CAST(sum(length) AS BIGINT) AS total_bytes,
@@ -101,19 +105,27 @@ def chunk_first_seen(spark, sf_dir):
     return _ids(spark, sf_dir).select("hash", "length", "chunk_id", "start")
 
 
-_FOLD = f"""WITH RECURSIVE {FIRST[5:]}, nxt AS (SELECT chunk_id, start, (SELECT min(chunk_id) FROM ids j WHERE j.start + j.length >= i.start + {TARGET}) AS last FROM ids i),
-heads AS (SELECT 0 AS pack_id, CAST(0 AS BIGINT) AS head, (SELECT last FROM nxt WHERE chunk_id = 0) AS last UNION ALL SELECT h.pack_id + 1, n.chunk_id, n.last FROM heads h JOIN nxt n ON n.chunk_id = h.last + 1),
-packed AS (SELECT CAST(0 AS BIGINT) AS shard, i.chunk_id, i.length, CAST(h.pack_id AS INTEGER) AS pack_id FROM ids i JOIN heads h ON i.chunk_id >= h.head AND i.chunk_id <= coalesce(h.last, 9223372036854775807))"""
+SHARD = 64  # entries that one writer packs
+_FOLD = f"""WITH RECURSIVE {FIRST[5:]}, sh AS (SELECT *, entry_idx // {SHARD} AS shard FROM ids),
+nxt AS (SELECT i.shard, i.chunk_id, min(j.chunk_id) AS last FROM sh i LEFT JOIN sh j ON j.shard = i.shard AND j.start + j.length >= i.start + {TARGET} GROUP BY i.shard, i.chunk_id),
+heads AS (SELECT n.shard, 0 AS pack_id, n.chunk_id AS head, n.last FROM nxt n WHERE n.chunk_id = (SELECT min(chunk_id) FROM sh WHERE sh.shard = n.shard)
+  UNION ALL SELECT h.shard, h.pack_id + 1, n.chunk_id, n.last FROM heads h JOIN nxt n ON n.shard = h.shard AND n.chunk_id = h.last + 1),
+packed AS (SELECT CAST(i.shard AS BIGINT) AS shard, i.chunk_id, i.length, CAST(h.pack_id AS INTEGER) AS pack_id FROM sh i JOIN heads h ON i.shard = h.shard AND i.chunk_id >= h.head AND i.chunk_id <= coalesce(h.last, 9223372036854775807))"""
+
+
+def _packed(spark, sf_dir):
+    """Each range of entries is packed by a task of its own."""
+    return chunks.assign_packs(_ids(spark, sf_dir), TARGET, F.floor(F.col("entry_idx") / SHARD))
 
 
 @query(_FOLD + " SELECT * FROM packed")
 def pack_assign(spark, sf_dir):
-    return chunks.assign_packs(_ids(spark, sf_dir), TARGET)
+    return _packed(spark, sf_dir)
 
 
 @query(_FOLD + " SELECT shard, pack_id, count(*) AS n_chunks, CAST(sum(length) AS BIGINT) AS raw_len FROM packed GROUP BY shard, pack_id")
 def pack_stats(spark, sf_dir):
-    return chunks.pack_stats(chunks.assign_packs(_ids(spark, sf_dir), TARGET))
+    return chunks.pack_stats(_packed(spark, sf_dir))
 
 
 @query(FIRST + " SELECT c.entry_idx, c.pos, i.chunk_id, c.length FROM chunks c JOIN ids i ON i.hash = c.hash")
