@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,10 @@ def cut(df: DataFrame, owner: str = "query") -> DataFrame:
     path = f"{shared_dir(spark)}/tidemill-{uuid.uuid4().hex}"
     _OWNED.setdefault(owner, []).append((spark, path))
     df.write.parquet(path)
+    # the shuffles behind the table are not needed any more: let Spark find them unreferenced and delete their files
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.parquet(path)
 
 

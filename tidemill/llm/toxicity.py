@@ -135,9 +135,10 @@ def units(text: pa.Array, lang: pa.Array) -> Units:
 
 
 def _counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts of both classes, place of each event) of the events of the toxic and the ordinary class."""
-    keys, where = np.unique(np.concatenate(parts), return_inverse=True)
-    return keys, np.stack([np.bincount(w, minlength=len(keys)).astype(float) for w in np.split(where, [len(parts[0])])]), where
+    """(keys, counts of both classes, first place of each key in the two parts) of (keys, counts) of the toxic and the ordinary class."""
+    keys, first, where = np.unique(np.concatenate([k for k, _ in parts]), return_index=True, return_inverse=True)
+    n = [np.bincount(w, c, minlength=len(keys)) for w, (_, c) in zip(np.split(where, [len(parts[0][0])]), parts, strict=True)]
+    return keys, np.stack(n), first
 
 
 def _above(n: np.ndarray, hist: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,39 +159,45 @@ def _parts(text: pa.Array, lang: pa.Array) -> Iterator[tuple[int, pa.RecordBatch
         at += b.num_rows
 
 
-def _events(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> list[list[np.ndarray]]:
-    """Per class: language, word and first letters of each continuation; word before and pair key of each counted pair."""
-    found: list[list[list[np.ndarray]]] = [[], []]
-    for at, b in _parts(text, lang):
+def _class_counts(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, ...]:
+    """Continuation counts of one class's texts.
+
+    (key of language and word, count, language, word, first letters), then
+    (key of pair, count, word before).
+    """
+    found: list[list[np.ndarray]] = []
+    for _, b in _parts(text, lang):
         u = units(b.column("text"), b.column("lang"))
-        for c in (0, 1):
-            mine = np.flatnonzero((toxic[at + u.row] == (c == 0)) & (u.lang != 0))
-            pair = _join(u.left[mine], u.word[mine])
-            seen, spread = _join(u.lang[mine], pair), _join(u.far[mine], pair)
-            one, two = (np.unique(k, return_index=True)[1] for k in (seen, spread))
-            found[c].append([seen[one], u.lang[mine][one], u.word[mine][one], u.letters[mine][one], spread[two], u.left[mine][two], pair[two]])
-    out = []
-    for c in (0, 1):
-        seen, la, w, p, spread, left, pair = (np.concatenate(x) for x in zip(*found[c], strict=True))
-        one, two = (np.unique(k, return_index=True)[1] for k in (seen, spread))
-        out.append([la[one], w[one], p[one], left[two], pair[two]])
-    return out
+        pair = _join(u.left, u.word)
+        one = np.unique(_join(u.lang, pair), return_index=True)[1]
+        two = np.unique(_join(u.far, pair), return_index=True)[1]
+        found.append([_join(u.lang, pair)[one], u.lang[one], u.word[one], u.letters[one], _join(u.far, pair)[two], u.left[two], pair[two]])
+    z = np.zeros(0, U64)
+    seen, la, w, p, spread, left, pair = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (z,) * 7
+    found.clear()
+    one = np.unique(seen, return_index=True)[1]
+    la, w, p = la[one], w[one], p[one]
+    keys, first, n = np.unique(_join(la, w), return_index=True, return_counts=True)
+    two = np.unique(spread, return_index=True)[1]
+    left, pair = left[two], pair[two]
+    pkeys, pfirst, pn = np.unique(pair, return_index=True, return_counts=True)
+    return keys, n, la[first], w[first], p[first], pkeys, pn, left[pfirst]
 
 
 def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
     """The two models of lower-case texts (threshold 0); toxic: booleans."""
-    ev = _events(text, lang, toxic)
+    known = np.asarray(lang.is_valid())
+    ev = [_class_counts(*(x.take(pa.array(np.flatnonzero(known & (toxic == c)))) for x in (text, lang))) for c in (True, False)]
     if not len(ev[0][0]) or not len(ev[1][0]):
         return _none()
-    both = [np.concatenate(x) for x in zip(*ev, strict=True)]
-    langs, lang_of = np.unique(both[0], return_inverse=True)
+    both = [np.concatenate([e[i] for e in ev]) for i in (2, 3, 4)]
     # words and their first letters, by language
-    keys, n, where = _counts([_join(e[0], e[1]) for e in ev])
-    heads, m, hwhere = _counts([_join(e[0], e[2]) for e in ev])
-    hist, word, head = (np.zeros(len(keys), x.dtype) for x in (lang_of, both[1], hwhere))
-    hist[where], word[where], head[where] = lang_of, both[1], hwhere
-    hhist, hletters = np.zeros(len(heads), lang_of.dtype), np.zeros(len(heads), U64)
-    hhist[hwhere], hletters[hwhere] = lang_of, both[2]
+    keys, n, first = _counts([(e[0], e[1]) for e in ev])
+    langs, hist = np.unique(both[0][first], return_inverse=True)
+    word, letters_of = both[1][first], both[2][first]
+    heads, hfirst, head = np.unique(_join(both[0][first], letters_of), return_index=True, return_inverse=True)
+    m = np.stack([np.bincount(head, x, minlength=len(heads)) for x in n])
+    hhist, hletters = hist[hfirst], letters_of[hfirst]
     r, lam, pooled = _above(n, hist, DEVIATIONS)
     rp, lamp, _ = _above(m, hhist, DEVIATIONS)
     kept = np.maximum(n.sum(0) - DISCOUNT, 0)
@@ -214,10 +221,8 @@ def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
     any_probs = np.zeros((2, size))
     any_probs[:, at] = whole
     # pairs, by the word before
-    pkeys, n, pwhere = _counts([e[4] for e in ev])
-    lefts, left_of = np.unique(both[3], return_inverse=True)
-    phist = np.zeros(len(pkeys), left_of.dtype)
-    phist[pwhere] = left_of
+    pkeys, n, first = _counts([(e[5], e[6]) for e in ev])
+    lefts, phist = np.unique(np.concatenate([e[7] for e in ev])[first], return_inverse=True)
     r, lam, _ = _above(n, phist, PAIR_DEVIATIONS)
     some, bent = (r > 0).any(0), (lam < 1).any(0)
     return Model(Table(keys, probs), Table(names, any_probs), Table(langs, down), down_any, Table(letters, fl), Table(pkeys[some], r[:, some]), Table(lefts[bent], lam[:, bent]), size, 0.0)
