@@ -42,6 +42,7 @@ cannot clash.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -304,24 +305,35 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     spread = ids.withColumn("__tm_nth", nth)
     picks = [spread.where(F.col("__tm_toxic") == c).orderBy("__tm_nth", "__tm_h", "__tm_lang").limit(max_per_class) for c in (True, False)]
     sample = picks[0].union(picks[1])  # bounded by the parameter, hence the broadcast
-    got = docs.join(F.broadcast(sample), (docs[id_col] == sample["__tm_id"]) & (docs["lang"].cast("string") == sample["__tm_lang"])).select("__tm_nth", "__tm_h", F.lower("text").alias("text"), "__tm_lang", "__tm_toxic").where("text is not null").toArrow()
-    got = got.sort_by([("__tm_h", "ascending"), ("text", "ascending")])
-    toxic, lang = got.column("__tm_toxic").to_numpy(), got.column("__tm_lang").combine_chunks()
-    text = got.column("text").combine_chunks()
-    keep = np.zeros(len(toxic), bool)
+    got = docs.join(F.broadcast(sample), (docs[id_col] == sample["__tm_id"]) & (docs["lang"].cast("string") == sample["__tm_lang"]))
+    got = got.select(F.col("__tm_h").alias("h"), F.lower("text").alias("text"), F.col("__tm_lang").alias("lang"), F.col("__tm_toxic").alias("toxic")).where("text is not null")
+    # one task fits, as the sample is bounded; only the model comes to the driver
+    model = got.repartition(1).mapInArrow(_learn, "model binary").collect()
+    return pickle.loads(model[0]["model"]) if model else _none()
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of the sampled rows (h, text, lang, toxic)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("text", "ascending")])
+    toxic, lang, text = t.column("toxic").to_numpy(), t.column("lang").combine_chunks(), t.column("text").combine_chunks()
     buf, off = flat(text)
-    code = span_hash(*(lambda b, o: (b, o[:-1], o[1:]))(*flat(lang)))
-    same = _join(code, span_hash(buf, off[:-1], off[1:])) if len(toxic) else code
+    lbuf, loff = flat(lang)
+    code = span_hash(lbuf, loff[:-1], loff[1:])
+    same = _join(code, span_hash(buf, off[:-1], off[1:]))
     once = np.zeros(len(toxic), bool)
-    once[np.unique(np.stack([same, toxic.astype(U64)], 1), axis=0, return_index=True)[1] if len(toxic) else []] = True
+    once[np.unique(np.stack([same, toxic.astype(U64)], 1), axis=0, return_index=True)[1]] = True
+    keep = np.zeros(len(toxic), bool)
     for c in np.unique(code):
         mine = [np.flatnonzero(once & (code == c) & (toxic == k)) for k in (True, False)]
         m = min(len(x) for x in mine)
         for x in mine:
             keep[x[:m]] = True
     take = pa.array(np.flatnonzero(keep))
-    return fit(text.take(take), lang.take(take), toxic[keep])
-
+    model = fit(text.take(take), lang.take(take), toxic[keep])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
