@@ -142,9 +142,9 @@ def _counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.stack(n), first
 
 
-def _above(n: np.ndarray, hist: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(R of both classes, lambda of both by history, pooled total by history); hist: number of each key's history."""
-    total = np.stack([np.bincount(hist, x) for x in n])
+def _above(n: np.ndarray, hist: np.ndarray, deviations: float, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(R of both classes, lambda of both by history, pooled total by history); hist: number of each key's history; total: of both classes by history, where n has not all keys."""
+    total = np.stack([np.bincount(hist, x) for x in n]) if total is None else total
     pooled = total.sum(0)
     expect = total[:, hist] * (n.sum(0) / pooled[hist])
     chance = np.sqrt(expect * (1 - total / pooled)[:, hist] + 1)
@@ -155,7 +155,7 @@ def _above(n: np.ndarray, hist: np.ndarray, deviations: float) -> tuple[np.ndarr
 def _parts(text: pa.Array, lang: pa.Array) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(first row, rows) in parts of bounded size: the driver's memory holds the arrays of one at a time."""
     at = 0
-    for b in slices(iter([pa.RecordBatch.from_arrays([text, lang], names=["text", "lang"])]), "text"):
+    for b in slices(iter([pa.RecordBatch.from_arrays([text, lang], names=["text", "lang"])]), "text", 1 << 18):
         yield at, b
         at += b.num_rows
 
@@ -222,9 +222,16 @@ def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
     any_probs = np.zeros((2, size))
     any_probs[:, at] = whole
     # pairs, by the word before
-    pkeys, n, first = _counts([(e[5], e[6]) for e in ev])
-    lefts, phist = np.unique(np.concatenate([e[7] for e in ev])[first], return_inverse=True)
-    r, lam, _ = _above(n, phist, PAIR_DEVIATIONS)
+    # only one that a class has more often than PAIR_DEVIATIONS can stand above chance, whose deviation is 1 at least
+    pkeys, first = np.unique(np.concatenate([e[5][e[6] > PAIR_DEVIATIONS] for e in ev]), return_index=True)
+    lefts, phist = np.unique(np.concatenate([e[7][e[6] > PAIR_DEVIATIONS] for e in ev])[first], return_inverse=True)
+    n, total = np.zeros((2, len(pkeys))), np.zeros((2, len(lefts)))
+    for c, e in enumerate(ev):
+        hit, at = Table(pkeys, n).find(e[5])
+        n[c, at[hit]] = e[6][hit]
+        hit, at = Table(lefts, n).find(e[7])
+        total[c] = np.bincount(at[hit], e[6][hit], minlength=len(lefts))
+    r, lam, _ = _above(n, phist, PAIR_DEVIATIONS, total)
     some, bent = (r > 0).any(0), (lam < 1).any(0)
     return Model(Table(keys, probs), Table(names, any_probs), Table(langs, down), down_any, Table(letters, fl), Table(pkeys[some], r[:, some]), Table(lefts[bent], lam[:, bent]), size, 0.0)
 
