@@ -42,7 +42,6 @@ cannot clash.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -314,17 +313,14 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     sample = picks[0].union(picks[1])  # bounded by the parameter, hence the broadcast
     got = docs.join(F.broadcast(sample), (docs[id_col] == sample["__tm_id"]) & (docs["lang"].cast("string") == sample["__tm_lang"]))
     got = got.select(F.col("__tm_h").alias("h"), F.lower("text").alias("text"), F.col("__tm_lang").alias("lang"), F.col("__tm_toxic").alias("toxic")).where("text is not null")
-    # one task fits, as the sample is bounded; only the model comes to the driver
-    model = got.repartition(1).mapInArrow(_learn, "model binary").collect()
-    return pickle.loads(model[0]["model"]) if model else _none()
+    return learn(got.toArrow())  # bounded by the parameter
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pickled model of the sampled rows (h, text, lang, toxic)."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("text", "ascending")])
+def learn(t: pa.Table) -> Model:
+    """The model of the sampled rows (h, text, lang, toxic)."""
+    if not t.num_rows:
+        return _none()
+    t = t.sort_by([("h", "ascending"), ("text", "ascending")])
     toxic, lang, text = t.column("toxic").to_numpy(), t.column("lang").combine_chunks(), t.column("text").combine_chunks()
     buf, off = flat(text)
     lbuf, loff = flat(lang)
@@ -339,8 +335,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in mine:
             keep[x[:m]] = True
     take = pa.array(np.flatnonzero(keep))
-    model = fit(text.take(take), lang.take(take), toxic[keep])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    return fit(text.take(take), lang.take(take), toxic[keep])
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
