@@ -165,23 +165,31 @@ def _class_counts(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, ...]:
     (key of language and word, count, language, word, first letters), then
     (key of pair, count, word before).
     """
-    found: list[list[np.ndarray]] = []
-    for _, b in _parts(text, lang):
-        u = units(b.column("text"), b.column("lang"))
-        pair = _join(u.left, u.word)
-        one = np.unique(_join(u.lang, pair), return_index=True)[1]
-        two = np.unique(_join(u.far, pair), return_index=True)[1]
-        found.append([_join(u.lang, pair)[one], u.lang[one], u.word[one], u.letters[one], _join(u.far, pair)[two], u.left[two], pair[two]])
-    z = np.zeros(0, U64)
-    seen, la, w, p, spread, left, pair = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (z,) * 7
-    found.clear()
-    one = np.unique(seen, return_index=True)[1]
-    la, w, p = la[one], w[one], p[one]
+    la, w, p = _distinct(text, lang, lambda u: _join(u.lang, _join(u.left, u.word)), lambda u: (u.lang, u.word, u.letters))
     keys, first, n = np.unique(_join(la, w), return_index=True, return_counts=True)
-    two = np.unique(spread, return_index=True)[1]
-    left, pair = left[two], pair[two]
+    la, w, p = la[first], w[first], p[first]
+    left, pair = _distinct(text, lang, lambda u: _join(u.far, _join(u.left, u.word)), lambda u: (u.left, _join(u.left, u.word)))
     pkeys, pfirst, pn = np.unique(pair, return_index=True, return_counts=True)
-    return keys, n, la[first], w[first], p[first], pkeys, pn, left[pfirst]
+    return keys, n, la, w, p, pkeys, pn, left[pfirst]
+
+
+def _distinct(text: pa.Array, lang: pa.Array, key, values) -> list[np.ndarray]:
+    """The values of the first word of each key, one column at a time in memory."""
+    cols: list[list[np.ndarray]] = []
+    for _, b in _parts(text, lang):
+        u = units(b.column("text"), b.column("lang"))
+        k, one = np.unique(key(u), return_index=True)
+        row = [k, *(v[one] for v in values(u))]
+        cols = cols or [[] for _ in row]
+        for c, x in zip(cols, row, strict=True):
+            c.append(x)
+    if not cols:
+        return [np.zeros(0, U64) for _ in values(units(text, lang))]
+    once = np.unique(np.concatenate(cols.pop(0)), return_index=True)[1]
+    out = []
+    while cols:
+        out.append(np.concatenate(cols.pop(0))[once])
+    return out
 
 
 def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
@@ -335,7 +343,9 @@ def learn(t: pa.Table) -> Model:
         for x in mine:
             keep[x[:m]] = True
     take = pa.array(np.flatnonzero(keep))
-    return fit(text.take(take), lang.take(take), toxic[keep])
+    model = fit(text.take(take), lang.take(take), toxic[keep])
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
