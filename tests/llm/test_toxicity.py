@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import defaultdict
 
@@ -183,3 +184,21 @@ def test_cases(spark, docs, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert not any(r.toxic for r in T.classify(odd, none).collect()) and T.without_toxic(odd, none).count() == 10
     assert T.classify(odd.limit(0), lab).count() == 0
+
+
+def test_counts_of_tasks_equal_those_of_one_process(spark, docs, monkeypatch):
+    """The driver takes counts alone: the model is the one of the same texts counted here, and no text is collected."""
+    monkeypatch.setattr(T, "PAIR_DEVIATIONS", 0.5)
+    texts, langs, toxic = small_corpus()
+    lab = spark.createDataFrame([(i, int(v)) for i, v in enumerate(toxic)], "doc_id long, toxic int")
+    keep = sorted(i for la in ("en", "de") for c in (True, False) for i in sorted((i for i in range(50) if langs[i] == la and toxic[i] == c), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:12])
+    taken = []
+    collect = type(lab).toArrow
+    monkeypatch.setattr(type(lab), "toArrow", lambda df: taken.append(df.columns) or collect(df))
+    model = T.train(docs(texts, langs=langs).repartition(5), lab)
+    want = T.fit_counts(pa.array([texts[i] for i in keep]), pa.array([langs[i] for i in keep]), toxic[keep])
+    assert len(want.pairs.keys)
+    for name in ("in_language", "anywhere", "down", "letters", "pairs", "history"):
+        a, b = getattr(model, name), getattr(want, name)
+        assert (a.keys == b.keys).all() and np.allclose(a.values, b.values, atol=1e-12), name
+    assert model.size == want.size and taken and not any("text" in c for c in taken)

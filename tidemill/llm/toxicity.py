@@ -28,8 +28,9 @@ did not see: each half of the sample is scored by a model of the other half.
 
 The models are fitted on a bounded sample: at most ``MAX_PER_CLASS`` labelled
 documents of each class, spread over the languages, of each language the same
-number of both, first by md5 of their ids; equal texts count once. All documents
-are scored, whole, in one pass without a shuffle.
+number of both, first by md5 of their ids; equal texts count once. Tasks count its
+words and score its held-out halves, so that its texts never come to the driver.
+All documents are scored, whole, in one pass without a shuffle.
 
 Cases: a null or empty text has no words, log-likelihoods of 0 and is not
 toxic; a null or unknown language is scored by P_c(w); null ids and repeated
@@ -42,6 +43,7 @@ cannot clash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import read
+from tidemill.llm.common import cut, read, release
 from tidemill.llm.kernels import U64, flat, mix, slices, span_hash, words
 
 MAX_PER_CLASS = 3000
@@ -193,9 +195,23 @@ def _distinct(text: pa.Array, lang: pa.Array, key, values) -> list[np.ndarray]:
 
 
 def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
-    """The two models of lower-case texts (threshold 0); toxic: booleans."""
+    """The two models of lower-case texts (threshold 0), counted in this process; toxic: booleans."""
     known = np.asarray(lang.is_valid())
     ev = [_class_counts(*(x.take(pa.array(np.flatnonzero(known & (toxic == c)))) for x in (text, lang))) for c in (True, False)]
+    totals = []
+    for *_, n, left in ev:
+        lefts, at = np.unique(left, return_inverse=True)
+        totals.append((lefts, np.bincount(at, n, minlength=len(lefts))))
+    return _model([e[:5] for e in ev], [e[5:] for e in ev], totals)
+
+
+def _model(ev: list[tuple[np.ndarray, ...]], pairs: list[tuple[np.ndarray, ...]], totals: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The two models (threshold 0) of the counts of each class.
+
+    ev: (key of language and word, count, language, word, first letters); pairs:
+    (key, count, word before), of all or of those that a class has more often than
+    PAIR_DEVIATIONS; totals: (word before, count of all its pairs).
+    """
     if not len(ev[0][0]) or not len(ev[1][0]):
         return _none()
     both = [np.concatenate([e[i] for e in ev]) for i in (2, 3, 4)]
@@ -230,14 +246,15 @@ def fit_counts(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
     any_probs[:, at] = whole
     # pairs, by the word before
     # only one that a class has more often than PAIR_DEVIATIONS can stand above chance, whose deviation is 1 at least
-    pkeys, first = np.unique(np.concatenate([e[5][e[6] > PAIR_DEVIATIONS] for e in ev]), return_index=True)
-    lefts, phist = np.unique(np.concatenate([e[7][e[6] > PAIR_DEVIATIONS] for e in ev])[first], return_inverse=True)
+    often = [(k[n > PAIR_DEVIATIONS], left[n > PAIR_DEVIATIONS]) for k, n, left in pairs]
+    pkeys, first = np.unique(np.concatenate([k for k, _ in often]), return_index=True)
+    lefts, phist = np.unique(np.concatenate([left for _, left in often])[first], return_inverse=True)
     n, total = np.zeros((2, len(pkeys))), np.zeros((2, len(lefts)))
-    for c, e in enumerate(ev):
-        hit, at = Table(pkeys, n).find(e[5])
-        n[c, at[hit]] = e[6][hit]
-        hit, at = Table(lefts, n).find(e[7])
-        total[c] = np.bincount(at[hit], e[6][hit], minlength=len(lefts))
+    for c in (0, 1):
+        hit, at = Table(pkeys, n).find(pairs[c][0])
+        n[c, at[hit]] = pairs[c][1][hit]
+        hit, at = Table(lefts, n).find(totals[c][0])
+        total[c, at[hit]] = totals[c][1][hit]
     r, lam, _ = _above(n, phist, PAIR_DEVIATIONS, total)
     some, bent = (r > 0).any(0), (lam < 1).any(0)
     return Model(Table(keys, probs), Table(names, any_probs), Table(langs, down), down_any, Table(letters, fl), Table(pkeys[some], r[:, some]), Table(lefts[bent], lam[:, bent]), size, 0.0)
@@ -247,29 +264,15 @@ def margin(model: Model, text: pa.Array, lang: pa.Array) -> np.ndarray:
     return np.concatenate([t - o for _, t, o in (score(model, b.column("text"), b.column("lang")) for _, b in _parts(text, lang))] or [np.zeros(0)])
 
 
-def fit(text: pa.Array, lang: pa.Array, toxic: np.ndarray) -> Model:
-    """Models of lower-case texts of labelled documents, with the threshold."""
-    if not toxic.any() or toxic.all():
-        return _none()
-    half = np.zeros(len(toxic), np.int64)  # of each class every other document
-    for c in (True, False):
-        half[toxic == c] = np.arange((toxic == c).sum()) % 2
-    unseen = np.zeros(len(toxic))
-    for k in (0, 1):
-        seen, mine = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        if toxic[seen].any() and not toxic[seen].all():
-            model = fit_counts(text.take(pa.array(seen)), lang.take(pa.array(seen)), toxic[seen])
-            unseen[mine] = margin(model, text.take(pa.array(mine)), lang.take(pa.array(mine)))
+def best_threshold(unseen: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold between the margins of documents that the models did not see."""
     cuts = np.unique(np.append(unseen, 0.0))
     rate = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="right") / len(x)
     gain = rate(unseen[toxic]) - rate(unseen[~toxic])
     best = np.flatnonzero(gain >= gain.max() - 0.002)
     best = int(best[np.argmin(np.abs(cuts[best]))])  # of cuts as good as the best, the nearest to 0
-    model = fit_counts(text, lang, toxic)
-    if len(model.in_language.keys):
-        above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
-        model.threshold = float(0.0 if cuts[best] <= 0 < above else (cuts[best] + above) / 2)
-    return model
+    above = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
+    return float(0.0 if cuts[best] <= 0 < above else (cuts[best] + above) / 2)
 
 
 def word_probabilities(model: Model, u: Units) -> np.ndarray:
@@ -320,32 +323,115 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     picks = [spread.where(F.col("__tm_toxic") == c).orderBy("__tm_nth", "__tm_h", "__tm_lang").limit(max_per_class) for c in (True, False)]
     sample = picks[0].union(picks[1])  # bounded by the parameter, hence the broadcast
     got = docs.join(F.broadcast(sample), (docs[id_col] == sample["__tm_id"]) & (docs["lang"].cast("string") == sample["__tm_lang"]))
-    got = got.select(F.col("__tm_h").alias("h"), F.lower("text").alias("text"), F.col("__tm_lang").alias("lang"), F.col("__tm_toxic").alias("toxic")).where("text is not null")
-    return learn(got.toArrow())  # bounded by the parameter
-
-
-def learn(t: pa.Table) -> Model:
-    """The model of the sampled rows (h, text, lang, toxic)."""
-    if not t.num_rows:
-        return _none()
-    t = t.sort_by([("h", "ascending"), ("text", "ascending")])
-    toxic, lang, text = t.column("toxic").to_numpy(), t.column("lang").combine_chunks(), t.column("text").combine_chunks()
-    buf, off = flat(text)
-    lbuf, loff = flat(lang)
-    code = span_hash(lbuf, loff[:-1], loff[1:])
-    same = _join(code, span_hash(buf, off[:-1], off[1:]))
-    once = np.zeros(len(toxic), bool)
-    once[np.unique(np.stack([same, toxic.astype(U64)], 1), axis=0, return_index=True)[1]] = True
-    keep = np.zeros(len(toxic), bool)
+    got = got.select(F.monotonically_increasing_id().alias("no"), F.col("__tm_h").alias("h"), F.lower("text").alias("text"), F.col("__tm_lang").alias("lang"), F.col("__tm_toxic").alias("toxic")).where("text is not null")
+    only_here = f"toxicity-{uuid.uuid4().hex}"
+    try:
+        return learn(cut(got, only_here), only_here)
+    finally:
+        release(only_here)
+
+
+def _chosen(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(no, toxic, half) by no of the rows (no, h, lang, toxic, th) to learn from: equal texts once, of each language as many of both classes; of each class every other one is in half 1."""
+    t = t.sort_by([("h", "ascending"), ("th", "ascending")])
+    no, toxic, th = (t.column(c).to_numpy() for c in ("no", "toxic", "th"))
+    code = t.column("lang").combine_chunks().dictionary_encode()
+    code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+    once = np.zeros(len(no), bool)
+    once[np.unique(np.stack([code.astype(np.int64), th, toxic.astype(np.int64)], 1), axis=0, return_index=True)[1]] = True
+    keep = np.zeros(len(no), bool)
     for c in np.unique(code):
         mine = [np.flatnonzero(once & (code == c) & (toxic == k)) for k in (True, False)]
         m = min(len(x) for x in mine)
         for x in mine:
             keep[x[:m]] = True
-    take = pa.array(np.flatnonzero(keep))
-    model = fit(text.take(take), lang.take(take), toxic[keep])
+    no, toxic = no[keep], toxic[keep]
+    half = np.zeros(len(no), np.int64)
+    for c in (True, False):
+        half[toxic == c] = np.arange((toxic == c).sum()) % 2
+    order = np.argsort(no)
+    return no[order], toxic[order], half[order]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], no: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, their places in no) of the rows whose number is there, in parts of bounded size."""
+    for b in slices(batches, "text", 1 << 18):
+        have = b.column("no").to_numpy()
+        at = np.minimum(np.searchsorted(no, have), len(no) - 1)
+        hit = np.flatnonzero(no[at] == have)
+        if len(hit):
+            yield b.take(pa.array(hit)), at[hit]
+
+
+#: Columns of counts: t, o: toxic and ordinary class; 3: all documents, 1 and 2: those of half 0 and 1.
+_COUNTS = [f"{c}{seen}" for c in "to" for seen in (1, 2, 3)]
+
+
+def counted(sample: DataFrame, no: np.ndarray, toxic: np.ndarray, half: np.ndarray) -> DataFrame:
+    """(pair, a, w, p, _COUNTS): continuation counts of words (language, word, first letters) and, where pair is 1, of pairs (word before, pair, 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in _rows(batches, no):
+            u = units(b.column("text"), b.column("lang"))
+            side = (2 * toxic[at] + half[at])[u.row]
+            both = _join(u.left, u.word)
+            for pair, key, a, w, p in ((0, _join(u.lang, both), u.lang, u.word, u.letters), (1, _join(u.far, both), u.left, both, np.zeros(len(both), U64))):
+                one = np.unique(_join(key, side.astype(U64)), return_index=True)[1]
+                cols = [pa.array(x[one].view(np.int64)) for x in (key, a, w, p)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), pair, np.int8)), *cols, pa.array(side[one] > 1), pa.array((1 << (side[one] % 2)).astype(np.int8))], names=["pair", "key", "a", "w", "p", "toxic", "half"])
+
+    found = sample.select("no", "text", "lang").mapInArrow(run, "pair byte, key long, a long, w long, p long, toxic boolean, half byte")
+    by = ["pair", "a", "w", "p"]
+    once = found.repartition("w").groupBy(*by, "key", "toxic").agg(F.bit_or("half").alias("half"))  # one shuffle for both groupings
+    tally = [F.count_if((F.col("toxic") == (c == "t")) & (F.col("half").bitwiseAND(int(seen)) > 0)).cast("int").alias(c + seen) for c, seen in _COUNTS]
+    return once.groupBy(*by).agg(*tally)
+
+
+def learn(sample: DataFrame, owner: str) -> Model:
+    """The model of the sampled rows (no, h, text, lang, toxic).
+
+    Words are counted and held-out documents scored by tasks; the driver takes
+    numbers of documents, counts of different words and of frequent pairs.
+    """
+    no, toxic, half = _chosen(sample.select("no", "h", "lang", "toxic", F.xxhash64("text").alias("th")).toArrow())
+    if not len(no):
+        return _none()
+    counts = cut(counted(sample, no, toxic, half), owner)
+    plain = lambda t, *names: [t.column(c).to_numpy().view(U64) for c in names]
+    words = counts.where("pair = 0").select("a", "w", "p", *_COUNTS).toArrow()
+    often = F.greatest("t3", "o3") > PAIR_DEVIATIONS
+    pairs = counts.where((F.col("pair") == 1) & often).select("a", "w", *_COUNTS).toArrow()
+    totals = counts.where("pair = 1").groupBy("a").agg(*[F.sum(c).alias(c) for c in _COUNTS]).toArrow()
+
+    def model(seen: int) -> Model:
+        parts: tuple[list, list, list] = [], [], []
+        for c in "to":
+            n, pn, tn = (t.column(f"{c}{seen}").to_numpy() for t in (words, pairs, totals))
+            la, w, p = (x[n > 0] for x in plain(words, "a", "w", "p"))
+            parts[0].append((_join(la, w), n[n > 0], la, w, p))
+            left, key = (x[pn > 0] for x in plain(pairs, "a", "w"))
+            parts[1].append((key, pn[pn > 0], left))
+            parts[2].append((plain(totals, "a")[0], tn))
+        return _model(*parts)
+
+    halves = [model(2), model(1)]  # each half is scored by a model of the other one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in _rows(batches, no):
+            for k in (0, 1):
+                mine = np.flatnonzero(half[at] == k)
+                got = margin(halves[k], *(b.column(c).take(pa.array(mine)) for c in ("text", "lang")))
+                yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array(got)], names=["at", "margin"])
+
+    got = sample.select("no", "text", "lang").mapInArrow(run, "at long, margin double").toArrow()
+    unseen = np.zeros(len(no))
+    unseen[got.column("at").to_numpy()] = got.column("margin").to_numpy()
+    del halves
+    whole = model(3)
+    if len(whole.in_language.keys):
+        whole.threshold = best_threshold(unseen, toxic)
     pa.default_memory_pool().release_unused()
-    return model
+    return whole
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
