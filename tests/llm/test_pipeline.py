@@ -139,3 +139,39 @@ def test_ids_of_other_types(spark, corpus, tmp_path):
     toxic = {f"id{i:05d}" for i, k in kind.items() if k == "toxic"}
     got = {r.doc_id for r in P.run(spark, str(tmp_path)).collect()}
     assert got and not got & toxic
+
+
+HELD = """
+import random
+import pyarrow as pa
+from tidemill.llm import minhash
+
+class Texts:
+    where = select = lambda self, *a: self
+    mapInArrow = lambda self, run, kind: run
+
+def held():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) / 1024
+
+def batch(n, words):
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(9999)}" for _ in range(words)) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["id", "text"])
+
+run = minhash.signatures(Texts())
+list(run(iter([batch(2, 50)])))
+large = batch(900, 600)
+before = held()
+list(run(iter([large])))
+print(held() - before)
+"""
+
+
+def test_a_worker_keeps_no_memory_of_the_task_before():
+    """The workers of near_dedup stand beside those of other stages, so what they hold when idle counts."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    got = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert float(got.stdout) < 20  # MB

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Numbers, cut, read
-from tidemill.llm.kernels import U64, flat, mix, shingles, slices, whole_groups, word_hashes
+from tidemill.llm.kernels import U64, flat, mix, shingles, slices, tidy, whole_groups, word_hashes
 
 HASHES, BANDS, BITS, WIDTH = 96, 32, 4, 3
 THRESHOLD = 0.5  # copies with about a tenth of their words changed
@@ -150,6 +150,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     """(id, whole, keys, sig) of each document with words: hash of all minima, band keys, packed bits."""
     src = texts.where("id is not null and text is not null").select("id", "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             m, some = minima(b.column("text"))
@@ -173,6 +174,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     folded = sigs.groupBy("whole").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.min_by("sig", "id").alias("sig"))
     banded = folded.select("id", "sig", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
             buf, _ = flat(t.column("sig"))

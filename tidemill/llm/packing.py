@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut, n_tokens, read
+from tidemill.llm.kernels import tidy
 
 CAPACITY = 2048
 BUCKETS = 256
@@ -121,6 +122,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", toke
     span = int(grid.sum()) + 1
     start = rows[:, 0] * span + rows[:, 1]
 
+    @tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, bucket, rn = (b.column(i).to_numpy() for i in (2, 3, 4))

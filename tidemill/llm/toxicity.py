@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut, read, release
-from tidemill.llm.kernels import U64, flat, mix, slices, span_hash, words
+from tidemill.llm.kernels import U64, flat, give_back, mix, slices, span_hash, tidy, words
 
 MAX_PER_CLASS = 3000
 DISCOUNT = 0.75
@@ -370,6 +370,7 @@ _COUNTS = [f"{c}{seen}" for c in "to" for seen in (1, 2, 3)]
 def counted(sample: DataFrame, no: np.ndarray, toxic: np.ndarray, half: np.ndarray) -> DataFrame:
     """(pair, a, w, p, _COUNTS): continuation counts of words (language, word, first letters) and, where pair is 1, of pairs (word before, pair, 0)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in _rows(batches, no):
             u = units(b.column("text"), b.column("lang"))
@@ -416,6 +417,7 @@ def learn(sample: DataFrame, owner: str) -> Model:
 
     halves = [model(2), model(1)]  # each half is scored by a model of the other one
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in _rows(batches, no):
             for k in (0, 1):
@@ -440,6 +442,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CL
     src = docs.select(*[F.col(f"`{c}`").alias(f"__tm_c{i}") for i, c in enumerate(carry)], F.col(id_col).alias("__tm_id"), F.lower("text").alias("__tm_text"), F.col("lang").alias("__tm_lang"))
     kept = [c for c in src.columns if c not in ("__tm_text", "__tm_lang")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__tm_text"):
             n, tox, ordinary = score(model, b.column("__tm_text"), b.column("__tm_lang"))
@@ -463,6 +466,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_P
         for b in slices(iter([pa.RecordBatch.from_arrays([text, lang], names=["text", "lang"])]), "text"):
             n, tox, ordinary = score(model, b.column("text"), b.column("lang"))
             out.append(~((tox - ordinary > model.threshold) & (n > 0)))
+        give_back()
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(clean(F.coalesce(F.lower("text"), F.lit("")), docs["lang"].cast("string")))
