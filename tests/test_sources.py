@@ -2,11 +2,13 @@ import io
 import os
 import random
 import tarfile
+import tracemalloc
 import zipfile
 
 import pytest
 
 from tidemill.functions import codecs
+from tidemill.plans import registry
 from tidemill.sources import archives, iso, pack, writers
 
 
@@ -56,6 +58,65 @@ def test_skippable_frames_and_seams():
         assert len(codecs.seams(codec, whole, 1)) >= 5 and b"".join(codecs.decode_seams(codec, whole, 1)) == b"".join(parts)
 
 
+@pytest.mark.parametrize("codec, module, new", [("zstd", codecs.zstandard, "ZstdDecompressor"), ("gzip", codecs.zlib, "decompressobj"), ("bzip2", codecs.bz2, "BZ2Decompressor"), ("xz", codecs.lzma, "LZMADecompressor")])
+def test_members_are_read_once(monkeypatch, codec, module, new):
+    """What is handed to decompressors is in proportion to the stream, however many members it has."""
+    parts = [os.urandom(9000) for _ in range(200)]
+    whole = b"".join(codecs.encode(codec, p) for p in parts)
+    handed = 0
+
+    class Counted:
+        def __init__(self, d):
+            self.d = d
+
+        def __getattr__(self, name):
+            return getattr(self.d, name)
+
+        def decompressobj(self):
+            return Counted(self.d.decompressobj())
+
+        def decompress(self, data):
+            nonlocal handed
+            handed += len(data)
+            return self.d.decompress(data)
+
+    real = getattr(module, new)
+    monkeypatch.setattr(module, new, lambda *a: Counted(real(*a)))
+    assert codecs.decode(codec, whole) == b"".join(parts)
+    assert len(whole) <= handed < 4 * len(whole)
+
+
+@pytest.mark.parametrize("codec", ["zstd", "gzip", "lz4"])
+def test_compressed_tar_is_not_held_whole(tmp_path, codec):
+    made = tmp_path / "t.tar"
+    bodies = [os.urandom(1 << 19).hex().encode() for _ in range(40)]
+    with tarfile.open(made, "w") as t:
+        for k, body in enumerate(bodies):
+            i = tarfile.TarInfo(f"{k}")
+            i.size = len(body)
+            t.addfile(i, io.BytesIO(body))
+    packed = tmp_path / f"t.tar.{codec}"
+    packed.write_bytes(codecs.encode(codec, made.read_bytes()))
+    tracemalloc.start()
+    try:
+        for k, row in enumerate(archives.entries(str(packed), True)):
+            assert row[3] == f"{k}" and row[-1] == bodies[k]
+        assert k == 39 and tracemalloc.get_traced_memory()[1] < (50 if codec == "lz4" else 10) << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_damaged_compressed_tar_gives_no_good_row(reg, tree):
+    """The last frame is damaged: none of the entries before it counts as read."""
+    tmp, body = tree
+    writers.write_tar(rows(reg, body), f"{tmp}/o.tar.zst", "zstd")
+    whole = (tmp / "o.tar.zst").read_bytes()
+    for name, bad in (("cut", whole[:-3]), ("junk", whole + b"junkjunk")):
+        (tmp / f"{name}.tar.zst").write_bytes(bad)
+        got = reg.read.format("archive").option("content", "true").load(f"{tmp}/{name}.tar.zst").collect()
+        assert len(got) == 1 and got[0].status.startswith("damaged")
+
+
 def test_zip_tar_pack_round_trip(reg, tree):
     tmp, body = tree
     df = rows(reg, body)
@@ -162,3 +223,11 @@ def test_tar_keeps_only_files_and_directories(reg, tmp_path):
             t.addfile(i, io.BytesIO(b"ab"))
     got = reg.read.format("archive").option("content", "true").load(f"{tmp_path}/t.tar").collect()
     assert [(r.raw_path, r.kind, r.modified) for r in got] == [("f", "file", None), ("d", "dir", None)]
+
+
+def test_archive_roundtrip_of_odd_rows(spark, tmp_path):
+    """Rows without a source, with an empty one, and of one id come back one by one."""
+    d = [(0, "a", None), (0, "b", None), (20, "x", "s"), (20, "x", "s"), (20, "y", "s"), (40, "z", ""), (60, "", "s"), (80, None, "s"), (81, "no", "s"), (None, "no", "s")]
+    spark.createDataFrame(d, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["archive_roundtrip"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, True)] * 2 + [("s/20.txt", True)] * 3 + [("/40.txt", True), ("s/60.txt", True)], key=str)
