@@ -1,5 +1,7 @@
 import datetime
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -263,3 +265,46 @@ def test_gates_spare_the_hashing(spark):
     assert dedup.gated(df, 16, limit=0).count() == len(rows)
     one, all_ = (sorted(map(tuple, d.collect())) for d in (dedup.groups(df, 16), dedup.groups(df, 1 << 20)))
     assert one == all_ and sorted((r[2], r[4]) for r in one) == [(2, "/g0"), (2, "/g2")]
+
+
+def test_lines_cost_what_they_are_long(spark):
+    """One text of many lines against as many lines in several texts."""
+    one = spark.createDataFrame([(0, bytearray(b"a line\n" * 16000))], "entry_idx long, content binary").coalesce(1)
+    many = spark.createDataFrame([(k, bytearray(b"a line\n" * 1000)) for k in range(16)], "entry_idx long, content binary").coalesce(1)
+    took = []
+    for f in (many, one, many, one):
+        at = time.time()
+        assert chunks.line_chunks(f).agg(F.count("*"), F.sum("length"), F.max("pos")).first()[:2] == (16000, 112000)
+        took.append(time.time() - at)
+    assert took[3] < 4 * took[2] + 0.5
+
+
+def test_line_chunks_of_odd_contents(spark):
+    f = spark.createDataFrame([(0, bytearray(b"")), (1, None), (2, bytearray(b"\n")), (3, bytearray(b"\n\na")), (4, bytearray("é\r\nb\n".encode()))], "entry_idx long, content binary")
+    got = [(r.entry_idx, r.pos, r.length, r.chunk) for r in chunks.line_chunks(f).orderBy("entry_idx", "pos").collect()]
+    assert got == [(2, 0, 1, "\n"), (3, 0, 1, "\n"), (3, 1, 1, "\n"), (3, 2, 1, "a"), (4, 0, 4, "é\r\n"), (4, 1, 2, "b\n")]
+
+
+@pytest.mark.parametrize("batch", ["1", "7", "10000"])
+def test_entry_splits_across_batches(spark, batch):
+    """As the fold row by row gives them, wherever batches end; no call of Python for each entry."""
+    r = random.Random(8)
+    rows = [(e, p, r.randrange(1, 60), r.randrange(4)) for e in [None, *range(-3, 90)] for p in range(r.choice([1, 2, 5, 40, 300]))]
+    want = []
+    for e, its in itertools.groupby(rows, lambda x: x[0]):
+        its = list(its)
+        total, start, base = sum(x[2] for x in its), 0, 0
+        for k, (_, pos, ln, pack) in enumerate(its):
+            if k == 0 or total >= 600 and pack != its[k - 1][3] and start - base >= 200:
+                want.append([e, want[-1][1] + 1 if k else 0, pos, 0])
+                base = start
+            want[-1][3] += ln
+            start += ln
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = chunks.entry_splits(spark.createDataFrame(rows, "entry_idx long, pos int, length int, pack_id long"), 200, 600)
+        assert sorted([list(x) for x in got.collect()], key=str) == sorted(want, key=str)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
